@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from . import mixing
+from .mixing import op10_hash_threshold_mix
 from .packing import op9_config_lp_packing
+from .simhash import op6_simhash_groups
 from .wavelet import op4_wavelet_tokens
 
 QUERIES = {
     "op4_wavelet_tokens": op4_wavelet_tokens,
+    "op6_simhash_groups": op6_simhash_groups,
     "op9_config_lp_packing": op9_config_lp_packing,
+    "op10_hash_threshold_mix": op10_hash_threshold_mix,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op10_hash_threshold_mix": mixing.SQL}

@@ -8,21 +8,35 @@ need not be encoded again. `tests/llm/test_tokens.py` holds this against encodin
 from __future__ import annotations
 
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
 
 TOKENIZER = "word_bpe_49k.json"
-#: Words kept at most by one Python worker (about 150 MB); then it starts anew.
-CACHE_WORDS = 600_000
+#: Words and parts of words kept at most by one Python worker (about 300 MB); then it starts anew.
+CACHE_WORDS, CACHE_PARTS = 1_000_000, 500_000
 #: Longer words are encoded each time.
 CACHE_CHARS = 64
 
 #: What the tokenizer counts as white space, U+001C to U+001F not among it, as str.split() has it.
 _ODD = "\x1c\x1d\x1e\x1f"
 _SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
-#: The tokenizer's own pattern, for lower-case ASCII.
-_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\s0-9a-z]+")
+#: The tokenizer's own pattern, for lower-case ASCII and the lower-case letters of Latin-1.
+_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^0-9a-zß-öø-ÿ]+")
+#: Words made of these alone need no normaliser but lower-casing.
+_PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printable Latin-1 stands for itself, other bytes for letters from U+0100 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+#: A letter of Latin-1 as its UTF-8 bytes are written in that alphabet.
+_LETTERS = {c: "".join(map(_byte_letters().get, chr(c).encode())) for c in range(128, 256)}
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -51,33 +65,36 @@ class WordEncoder:
     def _part(self, part: str) -> bytes:
         found = self.parts.get(part)
         if found is None:
-            found = np.array([t.id for t in self.tokenizer.model.tokenize(part)], "<u4").tobytes()
+            plain = part if part.isascii() else part.translate(_LETTERS)
+            found = array("I", [t.id for t in self.tokenizer.model.tokenize(plain)]).tobytes()
             if len(part) <= CACHE_CHARS:
                 self.parts[part] = found
         return found
 
     def _word(self, word: str) -> bytes:
-        if word.isascii() and word.isprintable() and "<|" not in word:
-            return b"".join(map(self._part, _ASCII.findall(word.lower())))
-        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        if _PLAIN.fullmatch(word) and "<|" not in word:
+            parts = _PARTS.findall(word.lower())
+            return self._part(parts[0]) if len(parts) == 1 else b"".join(map(self._part, parts))
+        return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
 
     def ids(self, text: str) -> bytes:
         words = words_of(text)
         known = self.known
-        try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
-            pass
-        if len(known) > CACHE_WORDS:
-            known.clear()
-            self.parts.clear()
-        long = {}
-        for w in set(words):
-            if w not in known:
-                (known if len(w) <= CACHE_CHARS else long)[w] = self._word(w)
-        if long:
-            return b"".join(long[w] if w in long else known[w] for w in words)
-        return b"".join(map(known.__getitem__, words))
+        found = list(map(known.get, words))
+        if None in found:
+            if len(known) > CACHE_WORDS:
+                known.clear()
+            if len(self.parts) > CACHE_PARTS:
+                self.parts.clear()
+            long: dict[str, bytes] = {}
+            for i, ids in enumerate(found):
+                if ids is None:
+                    w = words[i]
+                    ids = known.get(w) or long.get(w)
+                    if ids is None:
+                        ids = (known if len(w) <= CACHE_CHARS else long)[w] = self._word(w)
+                    found[i] = ids
+        return b"".join(found)
 
     def _spans(self, word: str) -> bytes:
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).offsets, "<u4").reshape(-1, 2).tobytes()

@@ -43,16 +43,15 @@ class WaveletMatrix:
         kind = np.uint16 if bits <= 16 else np.uint32
         now, zeros, planes, ranks = ids.astype(kind), [], [], []
         for level in range(bits):
-            bit = (now >> kind(bits - 1 - level)) & kind(1)
-            ones = bit.view(bool) if bit.dtype == np.uint8 else bit.astype(bool)
+            ones = (now & kind(1 << (bits - 1 - level))).astype(bool)
             packed = np.packbits(ones)
             packed = np.pad(packed, (0, -len(packed) % (BLOCK // 8)))
             each = _ONES[packed].reshape(-1, BLOCK // 8).sum(1, dtype=np.int64)
             planes.append(packed.tobytes())
             ranks.append(np.concatenate([[0], np.cumsum(each)]).astype("<u4").tobytes())
-            low = now[~ones]
+            low = np.flatnonzero(~ones)
             zeros.append(len(low))
-            now = np.concatenate([low, now[ones]])
+            now = now.take(np.concatenate([low, np.flatnonzero(ones)]))
         return cls(len(ids), zeros, planes, ranks)
 
     def _bits(self, level: int) -> np.ndarray:
@@ -124,8 +123,8 @@ class WaveletMatrix:
         for level in range(bits - 1, -1, -1):
             ones, zeros = self._bits(level), self.zeros[level]
             up = np.empty(self.n, kind)
-            up[~ones] = now[:zeros]
-            up[ones] = now[zeros:] | kind(1 << (bits - 1 - level))
+            up[np.flatnonzero(~ones)] = now[:zeros]
+            up[np.flatnonzero(ones)] = now[zeros:] | kind(1 << (bits - 1 - level))
             now = up
         return now
 
