@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from . import mixing
 from .mixing import op10_hash_threshold_mix
+from .audio import op8_telephony_audio
 from .packing import op9_config_lp_packing
 from .simhash import op6_simhash_groups
+from .toxicity import op7_toxicity_chain
 from .wavelet import op4_wavelet_tokens
 
 QUERIES = {
     "op4_wavelet_tokens": op4_wavelet_tokens,
     "op6_simhash_groups": op6_simhash_groups,
+    "op7_toxicity_chain": op7_toxicity_chain,
+    "op8_telephony_audio": op8_telephony_audio,
     "op9_config_lp_packing": op9_config_lp_packing,
     "op10_hash_threshold_mix": op10_hash_threshold_mix,
 }
