@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import mixing
 from .gam import op3_gam_quality
+from .minhash import op5_one_permutation_minhash
 from .mixing import op10_hash_threshold_mix
 from .audio import op8_telephony_audio
 from .packing import op9_config_lp_packing
@@ -14,6 +15,7 @@ from .wavelet import op4_wavelet_tokens
 QUERIES = {
     "op3_gam_quality": op3_gam_quality,
     "op4_wavelet_tokens": op4_wavelet_tokens,
+    "op5_one_permutation_minhash": op5_one_permutation_minhash,
     "op6_simhash_groups": op6_simhash_groups,
     "op7_toxicity_chain": op7_toxicity_chain,
     "op8_telephony_audio": op8_telephony_audio,
