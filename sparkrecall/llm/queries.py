@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import mixing
+from .attribution import op1_offset_attribution
 from .gam import op3_gam_quality
 from .minhash import op5_one_permutation_minhash
 from .mixing import op10_hash_threshold_mix
@@ -13,6 +14,7 @@ from .toxicity import op7_toxicity_chain
 from .wavelet import op4_wavelet_tokens
 
 QUERIES = {
+    "op1_offset_attribution": op1_offset_attribution,
     "op3_gam_quality": op3_gam_quality,
     "op4_wavelet_tokens": op4_wavelet_tokens,
     "op5_one_permutation_minhash": op5_one_permutation_minhash,

@@ -97,7 +97,13 @@ class WordEncoder:
         return b"".join(found)
 
     def _spans(self, word: str) -> bytes:
-        return np.array(self.tokenizer.encode(word, add_special_tokens=False).offsets, "<u4").reshape(-1, 2).tobytes()
+        if word.isascii() and _PLAIN.fullmatch(word) and "<|" not in word:
+            found = array("I")
+            for m in _PARTS.finditer(word.lower()):
+                for t in self.tokenizer.model.tokenize(m[0]):
+                    found.extend((m.start() + t.offsets[0], m.start() + t.offsets[1]))
+            return found.tobytes()
+        return array("I", [x for span in self.tokenizer.encode(word, add_special_tokens=False).offsets for x in span]).tobytes()
 
     def spans(self, text: str) -> np.ndarray:
         """An array of (start, end) per token, in characters of the text."""
@@ -107,10 +113,15 @@ class WordEncoder:
         if len(self.places) > CACHE_WORDS:
             self.places.clear()
         places, long = self.places, {}
-        for w in set(words):
-            if w not in places:
-                (places if len(w) <= CACHE_CHARS else long)[w] = self._spans(w)
-        found = [places[w] if w in places else long[w] for w in words]
+        found = list(map(places.get, words))
+        if None in found:
+            for i, own in enumerate(found):
+                if own is None:
+                    w = words[i]
+                    own = places.get(w) or long.get(w)
+                    if own is None:
+                        own = (places if len(w) <= CACHE_CHARS else long)[w] = self._spans(w)
+                    found[i] = own
         starts = np.fromiter((m.start() for m in _WORDS.finditer(text)), np.int64, len(words))
         counts = np.fromiter(map(len, found), np.int64, len(found)) // 8
         own = np.frombuffer(b"".join(found), "<u4").reshape(-1, 2).astype(np.int64)
