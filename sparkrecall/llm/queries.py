@@ -9,12 +9,14 @@ from .minhash import op5_one_permutation_minhash
 from .mixing import op10_hash_threshold_mix
 from .audio import op8_telephony_audio
 from .packing import op9_config_lp_packing
+from .passages import op2_compact_windows
 from .simhash import op6_simhash_groups
 from .toxicity import op7_toxicity_chain
 from .wavelet import op4_wavelet_tokens
 
 QUERIES = {
     "op1_offset_attribution": op1_offset_attribution,
+    "op2_compact_windows": op2_compact_windows,
     "op3_gam_quality": op3_gam_quality,
     "op4_wavelet_tokens": op4_wavelet_tokens,
     "op5_one_permutation_minhash": op5_one_permutation_minhash,
