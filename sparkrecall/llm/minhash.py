@@ -20,13 +20,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, texts
+from .common import documents, keep, texts
 
 SHINGLE, BINS, LOW_BITS, TRIES = 5, 256, 8, 24
+_HALF = 1 << (LOW_BITS - 1)
 #: A hash keeps 62 bits: the bin's number above, HASH_BITS below.
 HASH_BITS = 54
 #: 2^RUN_BITS consecutive ids find their next document together.
 RUN_BITS = 10
+#: Runs whose first ids are broadcast (24 bytes each).
+SENT_RUNS = 200_000
 
 
 def word_hashes(text: str) -> Column:
@@ -43,7 +46,7 @@ def _shingles(h: str) -> Column:
 
 
 def with_bins(table: DataFrame, text: str, name: str) -> DataFrame:
-    """Adds `name`: an array of BINS values of LOW_BITS bits; null for a text without words."""
+    """Adds `name`: an array of BINS values of LOW_BITS (at most 8) bits, as signed bytes; null for a text without words."""
     rest = table.columns
     marks = F.array(*[F.lit(((b + 1) << HASH_BITS) - 1) for b in range(BINS)])
     step = table.select("*", word_hashes(text).alias("_h"))
@@ -66,14 +69,14 @@ def with_bins(table: DataFrame, text: str, name: str) -> DataFrame:
         order = F.transform("_b", lambda x, j: F.when(own(x).isNotNull(), F.struct(F.xxhash64(i, F.lit(TRIES), j).alias("order"), own(x).alias("low"))))
         return F.array_min(F.filter(order, lambda x: x.isNotNull())).getField("low")
 
-    filled = F.transform("_b", lambda x, i: F.coalesce(own(x), *tried(i), last(i)).bitwiseAND(F.lit((1 << LOW_BITS) - 1)).cast("int"))
+    filled = F.transform("_b", lambda x, i: (F.coalesce(own(x), *tried(i), last(i)).bitwiseAND(F.lit((1 << LOW_BITS) - 1)) - _HALF).cast("byte"))
     return step.select(*rest, F.when(F.col("_n") > 0, filled).alias(name))
 
 
 def packed(bins: str) -> Column:
     """The bins' low bits in hexadecimal, LOW_BITS / 4 digits a bin; zeros for a text without words."""
     digits = LOW_BITS // 4
-    own = F.array_join(F.transform(bins, lambda x: F.lpad(F.hex(x), digits, "0")), "")
+    own = F.array_join(F.transform(bins, lambda x: F.lpad(F.hex(x.cast("long") + _HALF), digits, "0")), "")
     return F.coalesce(F.lower(own), F.lit("0" * digits * BINS))
 
 
@@ -103,6 +106,9 @@ def in_runs(docs: DataFrame) -> DataFrame:
     firsts = runs.groupBy("_run").agg(F.min("doc_id").alias("_least"))
     before = F.coalesce(F.lag("_run").over(Window.orderBy("_run")), F.max("_run").over(Window.partitionBy()))
     firsts = firsts.select("_run", "_least", before.alias("_before"))
+    firsts = keep(firsts, "runs")
+    # two numbers for a thousand documents: sent to all tasks while that is small, else joined by run
+    firsts = F.broadcast(firsts) if firsts.count() <= SENT_RUNS else firsts
     heads = runs.join(firsts, "_run").filter(F.col("doc_id").eqNullSafe(F.col("_least")))
     heads = heads.groupBy("_run").agg(F.first("doc_id").alias("doc_id"), F.min("text").alias("text"), F.first("_before").alias("_before"))
     return runs.withColumn("_ghost", F.lit(False)).unionByName(heads.select("doc_id", "text", F.col("_before").alias("_run"), F.lit(True).alias("_ghost")))
