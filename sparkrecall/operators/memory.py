@@ -32,7 +32,7 @@ def extraction_inputs(requests: DataFrame, date: Column, prompt: str = EXTRACTIO
 def line_facts(requests: DataFrame) -> DataFrame:
     """U1's default: every non-blank line of a user message is a fact."""
     lines = F.flatten(F.transform(F.filter("input", lambda m: m["role"] == "user"), lambda m: F.split(T.text_of(m), "\n")))
-    own = requests.select("request_id", "user_id", F.transform(F.filter(lines, T.non_blank), F.trim).alias("facts"))
+    own = requests.select("request_id", "user_id", F.transform(F.filter(lines, T.non_blank), lambda t: F.trim(t)).alias("facts"))
     return own.select("request_id", "user_id", F.posexplode("facts").alias("fact_pos", "fact"))
 
 
