@@ -2,8 +2,8 @@
 
 Every five-word shingle is hashed once. The hash's top bits choose one of `BINS` bins, and a bin keeps its
 smallest hash. An empty bin takes the value of another by optimal densification: it tries bins in an order that
-depends on its own number only, and takes the first that is not empty, so equal sets fill alike. The low
-`LOW_BITS` bits of each bin are packed into a hexadecimal string. Two unequal bins agree by chance in one of
+depends on its own number only, and takes the first that is not empty, so equal sets fill alike. `LOW_BITS` bits of
+each bin, mixed with the bin's number so that bins filled from one value differ, are packed into a hexadecimal string. Two unequal bins agree by chance in one of
 2^LOW_BITS cases; `likeness` takes that share out of the matches.
 
 All of it happens within a row: hashes are sorted together with one marker per bin that sorts behind every hash
@@ -69,7 +69,7 @@ def with_bins(table: DataFrame, text: str, name: str) -> DataFrame:
         order = F.transform("_b", lambda x, j: F.when(own(x).isNotNull(), F.struct(F.xxhash64(i, F.lit(TRIES), j).alias("order"), own(x).alias("low"))))
         return F.array_min(F.filter(order, lambda x: x.isNotNull())).getField("low")
 
-    filled = F.transform("_b", lambda x, i: (F.coalesce(own(x), *tried(i), last(i)).bitwiseAND(F.lit((1 << LOW_BITS) - 1)) - _HALF).cast("byte"))
+    filled = F.transform("_b", lambda x, i: (F.xxhash64(F.coalesce(own(x), *tried(i), last(i)), i).bitwiseAND(F.lit((1 << LOW_BITS) - 1)) - _HALF).cast("byte"))
     return step.select(*rest, F.when(F.col("_n") > 0, filled).alias(name))
 
 

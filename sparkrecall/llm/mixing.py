@@ -117,13 +117,14 @@ def mix(docs: DataFrame, **how) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
-    """The rows of docs that the mix takes, each as often as it is taken; documents without words are not in a mix of words."""
+    """The rows of docs that the mix takes, each as often as it is taken; one without words costs nothing and stays once."""
     rows = keep(sized(docs), "mix-rows")
     found = thresholds(rows, **how)
     h = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long")
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     own = docs.select(F.struct(*docs.columns).alias("row"), "source", size.alias("size"), h.alias("h"))
-    taken = _with(own, found).select("row", times().cast("int").alias("n")).filter("n > 0")
+    n = F.when(F.col("size") > 0, times()).otherwise(1).cast("int")
+    taken = _with(own, found).select("row", n.alias("n")).filter("n > 0")
     return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("n")))).select("row.*")
 
 
