@@ -2,9 +2,9 @@
 
 Every five-word shingle is hashed once. The hash's top bits choose one of `BINS` bins, and a bin keeps its
 smallest hash. An empty bin takes the value of another by optimal densification: it tries bins in an order that
-depends on its own number only, and takes the first that is not empty, so equal sets fill alike. `LOW_BITS` bits of
-each bin, mixed with the bin's number so that bins filled from one value differ, are packed into a hexadecimal string. Two unequal bins agree by chance in one of
-2^LOW_BITS cases; `likeness` takes that share out of the matches.
+depends on its own number only, and takes the first that is not empty, so equal sets fill alike. `LOW_BITS` bits
+of each bin, mixed with the bin's number so that bins filled from one value differ, are packed into a hexadecimal
+string. Two unequal bins agree by chance in one of 2^LOW_BITS cases; `likeness` takes that share out again.
 
 All of it happens within a row: hashes are sorted together with one marker per bin that sorts behind every hash
 of the bin, and the first entry of each bin is its minimum, or its marker if the bin is empty. No exchange, no
