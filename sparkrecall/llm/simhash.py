@@ -114,7 +114,9 @@ def near_duplicates(docs: DataFrame, cell_most: int = CELL_MOST) -> DataFrame:
     roots = connected_components(links(distinct, cell_most)).select(F.col("node").alias("fp"), "root")
     joined = distinct.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     smallest = joined.groupBy("root").agg(F.min("first").alias("component_id"))
-    return own.join(joined.join(smallest, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    # a table of its own, so that the join has plain exchanges on either side and a hot fingerprint can be split
+    classes = keep(joined.join(smallest, "root").select("fp", "component_id"), "simhash-classes")
+    return own.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
