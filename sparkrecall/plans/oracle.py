@@ -150,7 +150,7 @@ add("r1_build_rounds", f"WITH {ROUNDS} SELECT user_id, session_id, round_no, rou
 add(
     "r2_append_rounds",
     f"""WITH {EVT} SELECT user_id, round_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN event_type = 'click' THEN 1 ELSE 0 END, ts, event_id) AS INTEGER) AS round_no,
-    epoch_us(max(ts) OVER (PARTITION BY user_id)) AS updated_us FROM evt""",
+    strftime(max(ts) OVER (PARTITION BY user_id), '%Y-%m-%d %H:%M:%S.%f') AS updated FROM evt""",
 )
 add("r3_keep_last_rounds", f"WITH {EVT} SELECT user_id, round_no, round_id FROM evt QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY round_no DESC) <= 50")
 SEGMENT = "sum(CASE WHEN gap >= 86400 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, round_no)"

@@ -178,7 +178,7 @@ def r1_build_rounds(spark, d):
 def r2_append_rounds(spark, d):
     old = W.event_rounds(spark, d, F.col("event_type") != "click")
     new = W.event_rounds(spark, d, F.col("event_type") == "click")
-    return S.append_rounds(old, new).select("user_id", "round_id", "round_no", F.unix_micros("updated_at").alias("updated_us"))
+    return S.append_rounds(old, new).select("user_id", "round_id", "round_no", F.date_format("updated_at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("updated"))
 
 
 @query
