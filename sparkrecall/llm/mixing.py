@@ -96,7 +96,8 @@ def thresholds(rows: DataFrame, rounds: int = ROUNDS, **how) -> DataFrame:
         found = _cut(left, goal.select("source", F.col(f"gap{k - 1}").alias("budget")))
         found = found.select(F.col("source").alias("s"), F.col("cut").alias(f"cut{k}"), "used")
         goal = goal.join(found, goal.source.eqNullSafe(found.s)).drop("s").withColumn(f"gap{k}", F.col(f"gap{k - 1}") - F.col("used")).drop("used")
-    return keep(goal, "mix-thresholds")
+        goal = keep(goal, "mix-round")  # a row per source; else each round's plan would hold all rounds before
+    return goal
 
 
 def times(rounds: int = ROUNDS) -> F.Column:
