@@ -2,9 +2,9 @@
 
 A configuration is a multiset of piece lengths that fits one sequence. The linear program, at least n_l copies
 of every length l from as few configurations as possible, is solved by multiplicative weights: every round
-prices all configurations at once by a knapsack dynamic program over the sequence length, uses the dearest and
-lowers the weights of the lengths it covers. The solution is rounded down, and what is left is packed by best
-fit, longest first, again over the histogram.
+prices all configurations at once by a knapsack dynamic program over the sequence length, uses the dearest with each
+length and lowers the weights of what they cover. Uses are rounded down to whole sequences, and what is left is
+packed by best fit, longest first, again over the histogram.
 
 The histogram has at most one row per length up to the sequence length, whatever the corpus holds, so the
 program runs on the driver over a bounded table. The corpus itself stays in Spark: pieces get their rank among
@@ -31,8 +31,11 @@ from .tokens import encoder, tokenizer_path
 
 CAPACITY = 4096
 END_ID = 1
-#: Rounds of multiplicative weights, and the share of a round's largest possible step that it takes.
-ROUNDS, STEP = 240, 0.5
+#: Rounds of multiplicative weights, and the share of the largest possible step that a configuration takes.
+ROUNDS, STEP = 120, 0.5
+#: How fast weights fall with coverage, what long pieces are worth more, how far from the dearest a configuration may
+#: be, and how full it must be (a wasteful one's pieces are left to best fit).
+FALL, LONG, SLACK, FULL = 0.5, 0.05, 0.05, 0.998
 #: Hash buckets that share out the pieces of one length.
 BUCKETS = 256
 
@@ -60,8 +63,8 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, toke
     return texts(docs).mapInArrow(cut, PIECE_SCHEMA)
 
 
-def price(lengths: np.ndarray, values: np.ndarray, capacity: int) -> dict[int, int]:
-    """The multiset of lengths of largest value that fits: a knapsack over the capacity. Returns counts by index."""
+def knapsack(lengths: np.ndarray, values: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each capacity, the largest value of a multiset of lengths that fits, and the length to take first (-1: none)."""
     best, chosen = np.zeros(capacity + 1), np.full(capacity + 1, -1)
     fits = np.searchsorted(lengths, np.arange(capacity + 1), "right")
     for c in range(int(lengths[0]), capacity + 1):
@@ -71,57 +74,61 @@ def price(lengths: np.ndarray, values: np.ndarray, capacity: int) -> dict[int, i
             best[c], chosen[c] = got[k], k
         else:
             best[c] = best[c - 1]
+    return best, chosen
+
+
+def configuration(chosen: list[int], lengths: list[int], c: int) -> dict[int, int]:
+    """The multiset behind a capacity's best value: counts by index of the length."""
     found: dict[int, int] = defaultdict(int)
-    c = capacity
     while c > 0:
-        if chosen[c] < 0:
+        k = chosen[c]
+        if k < 0:
             c -= 1
         else:
-            found[int(chosen[c])] += 1
-            c -= int(lengths[chosen[c]])
+            found[k] += 1
+            c -= lengths[k]
     return found
 
 
 def solve(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS, step: float = STEP) -> list[tuple[Pattern, int]]:
-    """Configurations and how often each is used; together they hold every piece of the histogram exactly once."""
+    """Configurations and how often each is used; together they hold every piece of the histogram exactly once.
+
+    A round prices by one knapsack. Its table holds, for every length, the dearest configuration with that length:
+    those within SLACK of the dearest of all, the least covered lengths first, are used `step` times as often as
+    their lengths allow, rounded down to whole sequences (once at least).
+    """
     left = {n: k for n, k in histogram.items() if k > 0}
     plan: dict[Pattern, int] = defaultdict(int)
     if capacity in left:
         plan[((capacity, 1),)] = left.pop(capacity)
-    if not left:
-        return list(plan.items())
     lengths = np.array(sorted(left), np.int64)
-    need = np.array([left[int(n)] for n in lengths], float)
-    covered = np.zeros(len(lengths))
-    used: dict[Pattern, float] = defaultdict(float)
-    # A length's weight starts at the room it takes; it falls as its copies are covered.
-    for _ in range(rounds):
-        share = covered / need
-        open_ = share < 1
-        if not open_.any():
+    need = np.array([left[int(n)] for n in lengths], np.int64)
+    room = need.copy()
+    for _ in range(rounds if len(lengths) else 0):
+        at = np.flatnonzero(room)
+        if not len(at):
             break
-        values = np.where(open_, lengths * (1 + 0.05 * lengths / capacity) * np.exp(-0.5 * share), 0.0)
-        config = price(lengths[open_], values[open_], capacity)
-        at = np.flatnonzero(open_)[list(config)]
-        each = np.array(list(config.values()), float)
-        room = (need[at] - covered[at]) / each
-        times = min(room.min(), max(1.0, step * (need[at] / each).min()))
-        if times < 1:  # a configuration that needs more copies than are left: keep what is left of it
-            each = np.minimum(each, np.floor(need[at] - covered[at]))
-            at, each = at[each > 0], each[each > 0]
-            if not len(at):
-                covered[np.flatnonzero(open_)[list(config)]] = need[np.flatnonzero(open_)[list(config)]]
+        own, share = lengths[at], 1 - room[at] / need[at]
+        # weights fall with what is covered; long pieces, which fit fewer places, are worth a little more than their room
+        values = own * (1 + LONG * own / capacity) * np.exp(-FALL * share)
+        best, chosen = knapsack(own, values, capacity)
+        sizes, firsts, ways, used = own.tolist(), at.tolist(), chosen.tolist(), 0
+        for k in np.argsort(share - own / capacity * 1e-3, kind="stable").tolist():
+            if best[capacity - sizes[k]] + values[k] < (1 - SLACK) * best[capacity]:
                 continue
-            times = 1.0
-        used[tuple(sorted(((int(lengths[i]), int(n)) for i, n in zip(at, each)), reverse=True))] += times
-        covered[at] += times * each
-    for pattern, times in used.items():
-        whole = min([int(times + 1e-9), *(left[n] // k for n, k in pattern)])
-        if whole > 0 and sum(n * k for n, k in pattern) * 1.0 >= 0.98 * capacity:  # what a wasteful one holds is packed anew
-            plan[pattern] += whole
-            for n, k in pattern:
-                left[n] -= whole * k
-    for pattern, times in best_fit(left, capacity):
+            config = configuration(ways, sizes, capacity - sizes[k])
+            config[k] += 1
+            most = min(int(room[firsts[i]]) // n for i, n in config.items())
+            if most < 1 or sum(sizes[i] * n for i, n in config.items()) < FULL * capacity:
+                continue
+            times = max(1, int(step * most))
+            plan[tuple(sorted(((sizes[i], n) for i, n in config.items()), reverse=True))] += times
+            for i, n in config.items():
+                room[firsts[i]] -= times * n
+            used += 1
+        if not used:
+            break
+    for pattern, times in best_fit({int(n): int(k) for n, k in zip(lengths, room)}, capacity):
         plan[pattern] += times
     return list(plan.items())
 

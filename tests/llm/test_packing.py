@@ -42,7 +42,9 @@ def test_knapsack_price():
     best = [0.0] * 31
     for c in range(1, 31):
         best[c] = max([best[c - 1], *(best[c - n] + v for n, v in zip(lengths, values) if n <= c)])
-    got = packing.price(lengths, values, 30)
+    table, chosen = packing.knapsack(lengths, values, 30)
+    assert np.allclose(table, best)
+    got = packing.configuration(chosen.tolist(), lengths.tolist(), 30)
     assert sum(lengths[k] * n for k, n in got.items()) <= 30 and abs(sum(values[k] * n for k, n in got.items()) - best[30]) < 1e-9
 
 
