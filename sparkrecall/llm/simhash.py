@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import documents, keep, texts
 from .components import connected_components
+from .tokens import release
 
 SEED, SHINGLE, BITS = 42, 3, 2
 #: Distinct fingerprints of a cell that are joined pair by pair.
@@ -61,6 +62,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, fp: the fingerprint of each whole text as a signed long with the same bits."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             own = np.array([fingerprint(t.as_py()) for t in batch.column(1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own)], names=["doc_id", "fp"])

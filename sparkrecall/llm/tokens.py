@@ -135,3 +135,8 @@ _WORDS = re.compile("[^\t-\r \x85\xa0  -     　]+")
 def encoder(path: str) -> WordEncoder:
     """One for each Python worker; it lives on over the worker's tasks."""
     return WordEncoder(path)
+
+
+def release() -> None:
+    """Gives back what this Python worker knows of words; called by tasks that need none, as workers outlive their stages."""
+    encoder.cache_clear()

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import documents, keep, texts
+from .tokens import release
 
 CHAIN = ("low_quality", "toxic", "severe")
 TRAIN_ROWS, VOCABULARY, FOLDS = 20_000, 1_000, 3
@@ -163,6 +164,7 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, voca
     rows = texts(docs).join(F.broadcast(known), "doc_id")  # at most train_rows rows of three numbers
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
@@ -212,6 +214,7 @@ def _score(table: DataFrame, chain: Chain) -> DataFrame:
     schema = T.StructType([*table.schema.fields, *(T.StructField(n, T.DoubleType()) for n in names)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         find = Finder(chain.vocabulary)
         for batch in batches:
             at = batch.schema.get_field_index("text")
