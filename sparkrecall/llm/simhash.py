@@ -58,16 +58,19 @@ def fingerprint(text: str) -> int:
     return int(np.packbits(2 * ones > len(starts), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp: the fingerprint of each whole text as a signed long with the same bits."""
+def fingerprints(docs: DataFrame, key: F.Column | None = None) -> DataFrame:
+    """doc_id, fp: the fingerprint of each whole text as a signed long with the same bits; and `key`, where one is given."""
+    rows = texts(docs)
+    more = [] if key is None else ["key"]
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         for batch in batches:
             own = np.array([fingerprint(t.as_py()) for t in batch.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own), *batch.columns[2:]], names=["doc_id", "fp", *more])
 
-    return texts(docs).mapInArrow(make, "doc_id long, fp long")
+    rows = rows if key is None else rows.withColumn("key", key)
+    return rows.mapInArrow(make, "doc_id long, fp long" + ", key string" * len(more))
 
 
 def _signed(x: int) -> int:
@@ -109,27 +112,39 @@ def links(fps: DataFrame, cell_most: int = CELL_MOST) -> DataFrame:
     return pairs.union(stars).distinct()
 
 
-def near_duplicates(docs: DataFrame, cell_most: int = CELL_MOST) -> DataFrame:
-    """doc_id, fp, component_id, in one row per document."""
-    own = keep(fingerprints(docs), "simhash")
+def _classes(own: DataFrame, cell_most: int = CELL_MOST) -> DataFrame:
+    """fp, root, component_id, in one row per fingerprint; own: doc_id, fp."""
     distinct = own.groupBy("fp").agg(F.min("doc_id").alias("first"))
     roots = connected_components(links(distinct, cell_most)).select(F.col("node").alias("fp"), "root")
     joined = distinct.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     smallest = joined.groupBy("root").agg(F.min("first").alias("component_id"))
     # a table of its own, so that the join has plain exchanges on either side and a hot fingerprint can be split
-    classes = keep(joined.join(smallest, "root").select("fp", "component_id"), "simhash-classes")
-    return own.join(classes, "fp").select("doc_id", "fp", "component_id")
+    return keep(joined.join(smallest, "root").select("fp", "root", "component_id"), "simhash-classes")
+
+
+def near_duplicates(docs: DataFrame, cell_most: int = CELL_MOST) -> DataFrame:
+    """doc_id, fp, component_id, in one row per document."""
+    own = keep(fingerprints(docs), "simhash")
+    return own.join(_classes(own, cell_most), "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is its component's smallest; of repeated rows of that id one stays.
+def keep_first(docs: DataFrame, nameless: bool = False) -> DataFrame:
+    """One row of docs per component: that of its smallest doc_id, and of different texts with that id one of the component.
 
-    Rows without a doc_id can't stand for their group and stay only where their group has no id.
+    Rows without a doc_id can't stand for a group that has an id; with `nameless`, a group without any id keeps one of
+    them too.
     """
-    found = near_duplicates(docs.filter("doc_id is not null"))
-    first = found.filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi")
-    return kept.dropDuplicates(["doc_id"]).select(docs.columns)
+    named = docs if nameless else docs.filter("doc_id is not null")
+    own = keep(fingerprints(named, F.md5("text")), "simhash")
+    classes = _classes(own.select("doc_id", "fp"))
+    # the text tells apart rows of one id that belong to different groups
+    heads = own.join(classes, "fp").filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    heads = heads.groupBy("root").agg(F.min("doc_id").alias("_id"), F.min("key").alias("_key")).select("_id", "_key")
+    key = F.md5(F.coalesce(F.col("text"), F.lit("")))
+    own_rows = named.withColumn("_text_key", key)
+    same = (F.col("_text_key") == F.col("_key")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))
+    kept = own_rows.join(heads, same, "left_semi")
+    return kept.dropDuplicates(["doc_id", "_text_key"]).select(docs.columns)
 
 
 def op6_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:

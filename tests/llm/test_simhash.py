@@ -83,3 +83,13 @@ def test_long_chain(spark):
 
 def test_empty(spark):
     assert simhash.near_duplicates(none(spark)).count() == 0 and simhash.keep_first(none(spark)).count() == 0
+
+
+def test_nothing_unique_is_lost(spark):
+    """Rows without an id and different texts of one id: a row of each group stays."""
+    from corpus_pipeline import near_duplicates
+
+    one, two, three, four = (" ".join(f"{c}{k * k}" for k in range(40)) for c in "abcd")
+    rows = [(1, one, "en", "a"), (5, one, "en", "a"), (5, two, "en", "a"), (5, two, "en", "a"), (None, one, "en", "a"), (None, three, "en", "a"), (None, three, "en", "a"), (None, four, "en", "a")]
+    got = sorted(((r["doc_id"], r["text"]) for r in near_duplicates(spark, docs(spark, rows), "").collect()), key=str)
+    assert got == sorted([(1, one), (5, two), (None, three), (None, four)], key=str)
