@@ -1,5 +1,6 @@
 """Token counts by offset-mapped attribution: a document is encoded once, whole, and its tokens are dealt out to
-fields or sections by their character spans.
+fields or sections by their character spans. The library gets whole texts, a batch of them at a time, and gives the
+spans; texts of over a million characters go through in parts that don't change them (`tokens.parts`).
 
 Sections are character intervals [start, end) of a document; they may leave gaps, touch, nest or overlap, and each
 is counted on its own. The tokens' spans come in order, so the interval join of a document's tokens with its
@@ -19,6 +20,7 @@ table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, texts
+from .common import documents, slices, texts
 from .tokens import encoder, tokenizer_path
 
 CHUNK = 1000
@@ -69,16 +71,15 @@ def attribute(table: DataFrame, rule: str = "middle", tokenizer: str | None = No
     tokenizer = tokenizer or tokenizer_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has given this task its core
         code = encoder(tokenizer)
         for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                part = batch.slice(k, 512)
+            for part in slices(batch, 1):
+                rows = [r for r in zip(*(c.to_pylist() for c in part.columns)) if r[2]]
                 doc_ids, names, low, high, tokens, crossing = [], [], [], [], [], []
-                for doc_id, text, own in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist()):
-                    if not own:
-                        continue
+                for (doc_id, _, own), spans in zip(rows, code.spans([r[1] or "" for r in rows])):
                     starts, ends = (np.array([s[c] or 0 for s in own], np.int64) for c in ("start", "end"))
-                    n, cross = allocate(code.spans(text), starts, ends, rule)
+                    n, cross = allocate(spans, starts, ends, rule)
                     doc_ids += [doc_id] * len(own)
                     names += [s["section"] for s in own]
                     for column, values in ((low, starts), (high, ends), (tokens, n), (crossing, cross)):

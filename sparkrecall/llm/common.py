@@ -1,4 +1,4 @@
-"""Shared helpers: the shared work folder, intermediate tables and bounded sub-batches of texts."""
+"""Shared helpers: the shared work folder, intermediate tables and bounded slices of Arrow batches."""
 
 from __future__ import annotations
 
@@ -6,21 +6,30 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Characters of text that a Python task holds in one sub-batch.
-BATCH_CHARS = 2_000_000
+#: Bytes and rows of text that a Python task works on at once; a longer text is worked on alone.
+BATCH_BYTES, BATCH_ROWS = 2_000_000, 512
 
 #: Word separators of the documents' word rule: space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where that is unset, a local session (tests) gets a temporary folder; a cluster has none to offer, as its machines
+    don't see each other's, and is told so.
+    """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found
+    if not (spark.sparkContext.master + "[").startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     own = spark.conf.get("sparkrecall.work.dir", None)
     if not own:
         own = tempfile.mkdtemp(prefix="sparkrecall-")
@@ -36,13 +45,19 @@ def new_path(spark: SparkSession, name: str) -> str:
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def keep(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Writes df once to the shared folder and reads it back: cuts the lineage, survives lost executors."""
+def keep(df: DataFrame, name: str, codec: str = "zstd", level: int | None = None) -> DataFrame:
+    """Writes df once to the shared folder and reads it back: cuts the lineage, survives lost executors.
+
+    While it writes, shuffle files go as soon as their query ends. Another thread's query that ends meanwhile keeps its
+    result; only should it be run once more, it starts from its sources.
+    """
     spark = df.sparkSession
     path, was = new_path(spark, name), spark.conf.get(_CLEAN, "false")
+    out = df.write.option("compression", codec)
+    out = out if level is None else out.option("parquet.compression.codec.zstd.level", level)
     spark.conf.set(_CLEAN, "true")
     try:
-        df.write.option("compression", codec).parquet(path)
+        out.parquet(path)
     finally:
         spark.conf.set(_CLEAN, was)
     return spark.read.schema(df.schema).parquet(path)
@@ -66,13 +81,13 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
-def blocks(ids: list, values: list[str], most: int = BATCH_CHARS) -> Iterator[tuple[list, list[str]]]:
-    """Consecutive runs of rows with about `most` characters; a longer text is a run of its own."""
-    start, size = 0, 0
-    for i, v in enumerate(values):
-        if size and size + len(v) > most:
-            yield ids[start:i], values[start:i]
-            start, size = i, 0
-        size += len(v)
-    if start < len(values):
-        yield ids[start:], values[start:]
+def slices(batch: pa.RecordBatch, text: int | str, most: int = BATCH_BYTES, rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
+    """Consecutive slices of a batch with about `most` bytes in its column of texts or media; a longer one is alone."""
+    column = batch.column(text) if isinstance(text, int) else batch.column(batch.schema.get_field_index(text))
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < batch.num_rows:
+        before = int(ends[start - 1]) if start else 0
+        end = min(batch.num_rows, start + rows, max(start + 1, int(np.searchsorted(ends, before + most, "right"))))
+        yield batch.slice(start, end - start)
+        start = end

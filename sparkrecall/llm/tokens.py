@@ -1,15 +1,24 @@
-"""Encodes whole texts with the tokenizers library, one call per distinct word.
+"""Encodes whole texts with the tokenizers library.
 
-The lower-casing word BPE drops white space before it merges, and none of its normaliser, pattern and merge
-steps looks across white space. So the ids of a text are the ids of its words in order, and a word met before
-need not be encoded again. `tests/llm/test_tokens.py` holds this against encoding whole texts.
+`Encoder.spans` hands whole texts to the library and takes its tokens' character spans. `Encoder.ids` does so too,
+but for the lower-casing word BPE, whose steps are known: it drops white space before it merges, and none of its
+normaliser, pattern and merge steps looks across white space, so the ids of a text are the ids of its words in order,
+and a word met before need not be encoded again. An encoder looks at its tokenizer's own description and takes the
+short way for this one only; `tests/llm/test_tokens.py` holds both against encoding whole texts.
+
+The library holds about 200 bytes for each byte of a text while it encodes it. So a text of more than `PART_CHARS`
+goes through in parts where the tokenizer is known not to look over the cut: before a space between two visible
+characters, where both kinds of pattern below begin anew. Any other tokenizer gets every text in one piece.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from array import array
+from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 
@@ -18,6 +27,20 @@ TOKENIZER = "word_bpe_49k.json"
 CACHE_WORDS, CACHE_PARTS = 1_000_000, 500_000
 #: Longer words are encoded each time.
 CACHE_CHARS = 64
+PART_CHARS = 1_000_000
+
+#: The description of the word BPE's steps, and the steps of byte-level BPE.
+WORD_STEPS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+BYTE_STEPS = {"normalizer": None, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}}
 
 #: What the tokenizer counts as white space, U+001C to U+001F not among it, as str.split() has it.
 _ODD = "\x1c\x1d\x1e\x1f"
@@ -51,16 +74,32 @@ def words_of(text: str) -> list[str]:
     return text.split()
 
 
-class WordEncoder:
-    """ids(): the ids of a text as little-endian unsigned 32-bit integers; spans(): its tokens' character spans."""
+#: Where a long text may be cut: before a space between visible ASCII and a letter.
+_CUT = re.compile("(?<=[!-~]) (?=[A-Za-z])")
+
+
+def parts(text: str, most: int) -> Iterator[tuple[int, str]]:
+    """(place, part) of a text in parts of about `most` characters, each beginning with the space it was cut at."""
+    at = 0
+    while len(text) - at > most and (cut := _CUT.search(text, at + most)):
+        yield at, text[at : cut.start()]
+        at = cut.start()
+    yield at, text[at:]
+
+
+class Encoder:
+    """ids(): the ids of a text as little-endian unsigned 32-bit integers; spans(): the character spans of texts' tokens."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        steps = json.loads(self.tokenizer.to_str())
+        own = {k: steps[k] for k in ("normalizer", "pre_tokenizer")}
+        self.by_word = own == WORD_STEPS and steps["model"]["end_of_word_suffix"] == "</w>"
+        self.most = PART_CHARS if self.by_word or own == BYTE_STEPS else None
         self.known: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
-        self.places: dict[str, bytes] = {}
 
     def _part(self, part: str) -> bytes:
         found = self.parts.get(part)
@@ -71,13 +110,16 @@ class WordEncoder:
                 self.parts[part] = found
         return found
 
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
     def _word(self, word: str) -> bytes:
         if _PLAIN.fullmatch(word) and "<|" not in word:
-            parts = _PARTS.findall(word.lower())
-            return self._part(parts[0]) if len(parts) == 1 else b"".join(map(self._part, parts))
-        return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+            own = _PARTS.findall(word.lower())
+            return self._part(own[0]) if len(own) == 1 else b"".join(map(self._part, own))
+        return self._whole(word)
 
-    def ids(self, text: str) -> bytes:
+    def _words(self, text: str) -> bytes:
         words = words_of(text)
         known = self.known
         found = list(map(known.get, words))
@@ -96,45 +138,35 @@ class WordEncoder:
                     found[i] = ids
         return b"".join(found)
 
-    def _spans(self, word: str) -> bytes:
-        if word.isascii() and _PLAIN.fullmatch(word) and "<|" not in word:
-            found = array("I")
-            for m in _PARTS.finditer(word.lower()):
-                for t in self.tokenizer.model.tokenize(m[0]):
-                    found.extend((m.start() + t.offsets[0], m.start() + t.offsets[1]))
-            return found.tobytes()
-        return array("I", [x for span in self.tokenizer.encode(word, add_special_tokens=False).offsets for x in span]).tobytes()
-
-    def spans(self, text: str) -> np.ndarray:
-        """An array of (start, end) per token, in characters of the text."""
-        words = words_of(text)
-        if not words:
-            return np.zeros((0, 2), np.int64)
-        if len(self.places) > CACHE_WORDS:
-            self.places.clear()
-        places, long = self.places, {}
-        found = list(map(places.get, words))
-        if None in found:
-            for i, own in enumerate(found):
-                if own is None:
-                    w = words[i]
-                    own = places.get(w) or long.get(w)
-                    if own is None:
-                        own = (places if len(w) <= CACHE_CHARS else long)[w] = self._spans(w)
-                    found[i] = own
-        starts = np.fromiter((m.start() for m in _WORDS.finditer(text)), np.int64, len(words))
-        counts = np.fromiter(map(len, found), np.int64, len(found)) // 8
-        own = np.frombuffer(b"".join(found), "<u4").reshape(-1, 2).astype(np.int64)
-        return own + np.repeat(starts, counts)[:, None]
+    def _cut(self, text: str) -> Iterator[tuple[int, str]]:
+        return iter([(0, text)]) if self.most is None or len(text) <= self.most else parts(text, self.most)
+
+    def ids(self, text: str) -> bytes:
+        one = self._words if self.by_word else self._whole
+        return one(text) if len(text) <= PART_CHARS else b"".join(one(part) for _, part in self._cut(text))
+
+    def spans(self, texts: list[str]) -> list[np.ndarray]:
+        """An array of (start, end) per token of each text, in characters; all texts in one call but for the parts of long ones."""
+        short = [t for t in texts if self.most is None or len(t) <= self.most]
+        found = iter(self.tokenizer.encode_batch(short, add_special_tokens=False))
+        out = []
+        for t in texts:
+            if self.most is None or len(t) <= self.most:
+                out.append(_offsets(next(found)))
+            else:
+                out.append(np.concatenate([_offsets(self.tokenizer.encode(part, add_special_tokens=False)) + at for at, part in self._cut(t)]))
+        return out
 
 
-_WORDS = re.compile("[^\t-\r \x85\xa0  -     　]+")
+def _offsets(encoding) -> np.ndarray:
+    own = encoding.offsets
+    return np.fromiter(chain.from_iterable(own), np.int64, 2 * len(own)).reshape(-1, 2)
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str) -> Encoder:
     """One for each Python worker; it lives on over the worker's tasks."""
-    return WordEncoder(path)
+    return Encoder(path)
 
 
 def release() -> None:

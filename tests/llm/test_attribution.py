@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from sparkrecall.llm import attribution
 from sparkrecall.llm.common import texts
-from sparkrecall.llm.tokens import WordEncoder, tokenizer_path
+from sparkrecall.llm.tokens import Encoder, tokenizer_path
 from tests.llm.helpers import ROWS, docs, none
 
 
@@ -41,7 +41,7 @@ def test_chunks_add_up(spark, rule):
     got = {}
     for r in attribution.attribute(rows, rule).collect():
         got[r["doc_id"]] = got.get(r["doc_id"], 0) + r["n_tokens"]
-    code, want = WordEncoder(tokenizer_path()), {}
+    code, want = Encoder(tokenizer_path()), {}
     for i, t, *_ in ROWS:
         want[i] = want.get(i, 0) + len(code.tokenizer.encode(t or "", add_special_tokens=False).ids)
     assert {k: round(v, 6) for k, v in got.items()} == want

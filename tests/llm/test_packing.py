@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from sparkrecall.llm import packing
-from sparkrecall.llm.tokens import WordEncoder, tokenizer_path
+from sparkrecall.llm.tokens import Encoder, tokenizer_path
 from tests.llm.helpers import ROWS, docs, none
 
 
@@ -51,7 +51,7 @@ def test_knapsack_price():
 @pytest.mark.parametrize("capacity", [4096, 50])
 def test_pack(spark, capacity):
     got = packing.pack(docs(spark), capacity).collect()
-    code = WordEncoder(tokenizer_path())
+    code = Encoder(tokenizer_path())
     want = []
     for i, text, *_ in ROWS:
         ids = code.tokenizer.encode(text or "", add_special_tokens=False).ids + [1]

@@ -11,14 +11,14 @@ ODD = [
 
 @pytest.fixture(scope="module")
 def code():
-    return tokens.WordEncoder(tokens.tokenizer_path())
+    return tokens.Encoder(tokens.tokenizer_path())
 
 
 @pytest.mark.parametrize("text", ODD)
 def test_same_as_whole_text(code, text):
     want = code.tokenizer.encode(text, add_special_tokens=False)
     assert np.frombuffer(code.ids(text), "<u4").tolist() == want.ids
-    assert [tuple(x) for x in code.spans(text).tolist()] == want.offsets
+    assert [tuple(x) for x in code.spans([text, text])[1].tolist()] == want.offsets
     assert np.frombuffer(code.ids(text), "<u4").tolist() == want.ids  # from what is known by now
 
 
@@ -29,3 +29,31 @@ def test_cache_is_bounded(code, monkeypatch):
         text = f"word{k} other{k} Third{k}é"
         assert np.frombuffer(code.ids(text), "<u4").tolist() == code.tokenizer.encode(text, add_special_tokens=False).ids
     assert len(code.known) <= 5 + 3
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_every_tokenizer(name, monkeypatch):
+    """Whole, in one call, and in parts: the ids and spans of encode, for the word BPE and for another."""
+    code = tokens.Encoder(tokens.tokenizer_path(name))
+    assert code.by_word == (name == "word_bpe_49k.json")
+    every = [*ODD, "Hello World, it's A test\n  of spacing.", "  lead and  double  spaces , odd\u0301 marks \u0301 x " * 30]
+    every.append(" ".join(every) * 3)
+    want = [code.tokenizer.encode(t, add_special_tokens=False) for t in every]
+    for most in (1 << 30, 40, 7):
+        monkeypatch.setattr(tokens, "PART_CHARS", most)
+        code.most = most
+        assert [np.frombuffer(code.ids(t), "<u4").tolist() for t in every] == [w.ids for w in want]
+        assert [[tuple(x) for x in s.tolist()] for s in code.spans(every)] == [w.offsets for w in want]
+
+
+def test_unknown_steps_are_encoded_whole(tmp_path):
+    """A tokenizer whose steps are not known gets whole texts, never words or parts."""
+    from tokenizers import normalizers
+
+    code = tokens.Encoder(tokens.tokenizer_path())
+    code.tokenizer.normalizer = normalizers.Sequence([normalizers.NFC()])
+    code.tokenizer.save(str(tmp_path / "other.json"))
+    other = tokens.Encoder(str(tmp_path / "other.json"))
+    assert not other.by_word and other.most is None
+    for t in ODD:
+        assert np.frombuffer(other.ids(t), "<u4").tolist() == other.tokenizer.encode(t, add_special_tokens=False).ids

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from sparkrecall.llm import wavelet
-from sparkrecall.llm.tokens import WordEncoder, tokenizer_path
+from sparkrecall.llm.tokens import Encoder, tokenizer_path
 from tests.llm.helpers import ROWS, docs, none
 
 
@@ -22,7 +22,7 @@ def test_matrix(n, top, bits):
 
 
 def expected():
-    code = WordEncoder(tokenizer_path())
+    code = Encoder(tokenizer_path())
     order = sorted(ROWS, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
     out, start = [], 0
     for i, text, *_ in order:
