@@ -5,11 +5,12 @@ A-law, 4-bit IMA ADPCM, 16-bit PCM, mono) and `store_pcm` writes them resampled
 recurrence along a block, so the loop runs over the samples of a block and numpy over all blocks at once.
 
 The query stores each text's bytes as the samples of a mu-law file, writes those files to a Parquet table, reads
-them back and derives its features from the decoded, resampled sound and from the same bytes as ADPCM blocks.
+them back, resamples the decoded sound to PCM, writes that to a table too, and derives its features from the stored
+PCM, from the same bytes decoded as A-law, and from the same bytes as ADPCM blocks.
 
 Defined results: a null or empty text is one unit of padding; repeated rows have a row each, equal texts equal
 values; a null doc_id stays null; an empty table gives no rows; bytes that are no WAV file decode to null; other
-columns are ignored.
+columns are ignored, and those of a media table are kept: one named like an added column is an error.
 """
 
 from __future__ import annotations
@@ -25,9 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import documents, keep, texts
+from .common import documents, keep, slices, texts
 
 RATE, UNIT, PAD = 8000, 576, 255
+#: Samples a second of the query's PCM; files are compressed at this level of zstd.
+QUERY_RATE, LEVEL = 4000, 9
 #: Bytes of an ADPCM block of the query; a unit holds three.
 ADPCM_BLOCK = 192
 
@@ -151,12 +154,13 @@ def decode(table: DataFrame, media: str = "media", to: int = 16_000) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 64):
-                part = batch.slice(k, 64)
+            for part in slices(batch, media, rows=64):
                 rows = list(each(part.column(part.schema.get_field_index(media))))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.float64())], names=[*part.schema.names, "pcm", "seconds"])
 
-    own = table.drop("pcm", "seconds")
+    if clash := {c.lower() for c in table.columns} & {"pcm", "seconds"}:
+        raise ValueError(f"rename the columns {sorted(clash)}: decode adds its own")
+    own = table
     added = [T.StructField("pcm", T.BinaryType()), T.StructField("seconds", T.DoubleType())]
     return own.mapInArrow(run, T.StructType([*own.schema.fields, *added]))
 
@@ -176,8 +180,7 @@ def store_texts(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
+            for part in slices(batch, 1):
                 made = [payload(t) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([m[0] for m in made], pa.int64()), pa.array([write_wav(MULAW, m[1]) for m in made], pa.binary())], names=["doc_id", "n_bytes", "media"])
 
@@ -185,36 +188,54 @@ def store_texts(docs: DataFrame) -> DataFrame:
 
 
 def features(pcm: np.ndarray) -> str:
-    x = pcm.astype(np.int64)
-    return f"peak={int(np.abs(x).max())};rms={int(np.sqrt((x * x).mean()))};zero={int(((x[1:] >= 0) != (x[:-1] >= 0)).sum())}"
+    """Peak, root mean square and sign changes of samples."""
+    x = pcm.astype(np.int32)
+    square = np.square(pcm, dtype=np.float64).sum()  # whole numbers below 2^53
+    return f"peak={int(np.abs(x).max())};rms={int(np.sqrt(square / len(x)))};zero={int(np.count_nonzero((pcm[1:] >= 0) != (pcm[:-1] >= 0)))}"
 
 
-def read_features(stored: DataFrame) -> DataFrame:
-    """The query's columns, all from the stored files."""
+DIGESTS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string"
+
+
+def decode_texts(stored: DataFrame, to: int = QUERY_RATE) -> DataFrame:
+    """The checksums of stored files, read back, the features of their bytes under the other two codes, and their sound as
+    resampled PCM."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
+            for part in slices(batch, 2):
                 media = part.column(2).to_pylist()
                 data = [read_wav(m)[3] for m in media]
                 ima = decode_ima(np.frombuffer(b"".join(data), np.uint8).reshape(-1, ADPCM_BLOCK))
-                ends = np.cumsum([len(d) // ADPCM_BLOCK for d in data])
-                rows = []
-                for d, end in zip(data, ends.tolist()):
-                    wide = resample(samples(MULAW, 1, d), RATE, 2 * RATE)
-                    other = ima[end - len(d) // ADPCM_BLOCK : end].reshape(-1)
-                    rows.append(f"mulaw:{features(wide)};pcm_crc32={zlib.crc32(wide.astype('<i2').tobytes())}|ima:{features(other)}")
+                ends = np.cumsum([len(d) // ADPCM_BLOCK for d in data]).tolist()
+                other = [f"alaw:{features(samples(ALAW, 1, d))}|ima:{features(ima[end - len(d) // ADPCM_BLOCK : end].reshape(-1))}" for d, end in zip(data, ends)]
                 columns = [
                     part.column(0), part.column(1), pa.array([len(d) for d in data], pa.int64()), pa.array([hashlib.sha256(d).hexdigest() for d in data]),
                     pa.array([zlib.crc32(d[-32:]) for d in data], pa.int64()), pa.array([len(m) for m in media], pa.int64()),
-                    pa.array([hashlib.sha256(m).hexdigest() for m in media]), pa.array(rows, pa.string()),
+                    pa.array([hashlib.sha256(m).hexdigest() for m in media]), pa.array(other, pa.string()),
+                    pa.array([resample(samples(MULAW, 1, d), RATE, to).astype("<i2").tobytes() for d in data], pa.binary()),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "other", "pcm"])
+
+    return stored.select("doc_id", "n_bytes", "media").mapInArrow(run, DIGESTS + ", other string, pcm binary")
+
+
+def read_features(sound: DataFrame) -> DataFrame:
+    """The query's columns; `feature` opens with what the stored PCM says."""
+    own = [f.name for f in sound.schema if f.name not in ("other", "pcm")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "pcm"):
+                of = lambda c, part=part: part.column(part.schema.get_field_index(c))
+                made = []
+                for pcm, other in zip(of("pcm").to_pylist(), of("other").to_pylist()):
+                    made.append(f"mulaw:{features(np.frombuffer(pcm, '<i2'))};pcm_crc32={zlib.crc32(pcm)}|{other}")
+                yield pa.RecordBatch.from_arrays([*map(of, own), pa.array(made, pa.string())], names=[*own, "feature"])
 
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return stored.mapInArrow(run, schema)
+    return sound.mapInArrow(run, DIGESTS + ", feature string")
 
 
 def op8_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_features(keep(store_texts(documents(spark, sf_dir)), "audio"))
+    stored = keep(store_texts(documents(spark, sf_dir)), "audio", level=LEVEL)
+    return read_features(keep(decode_texts(stored), "pcm", level=LEVEL))

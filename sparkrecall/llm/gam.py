@@ -9,8 +9,8 @@ The features come from all texts in Spark tasks. The tables are fitted on the dr
 labelled rows (smallest hash of doc_id first), which is a documented bound; they are a few kilobytes.
 
 Defined results: a null or empty text has features of zero and is scored like any other; repeated rows have a row
-each; contradicting labels of an id are averaged, a half counts as 1; labels without a document, or null, are
-ignored; without training rows every score is 0.5, with one class only the score is that class; a null doc_id is
+each; contradicting labels of an id are averaged, a half counts as 1, and of unlike texts of one id the smallest is
+learned from; labels without a document, or null, are ignored; without training rows every score is 0.5, with one class only the score is that class; a null doc_id is
 scored and counts as not held out; other columns are ignored.
 """
 
@@ -25,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, texts
-from .toxicity import held_out, labelled
+from .common import documents, slices, texts
+from .toxicity import held_out, labelled, one_text
 
 FEATURES = (
     "chars", "words", "word_length", "word_spread", "symbols", "bars", "digits", "upper", "stops", "commas", "lines", "distinct_words",
@@ -65,8 +65,9 @@ def features(table: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = [measure(t.as_py() or "") for t in batch.column(at)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in rest), pa.array(x, pa.list_(pa.float64()))], names=[*rest, "x"])
+            for part in slices(batch, at):
+                x = [measure(t.as_py() or "") for t in part.column(at)]
+                yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in rest), pa.array(x, pa.list_(pa.float64()))], names=[*rest, "x"])
 
     return table.mapInArrow(run, ", ".join([f"`{c}` {table.schema[c].dataType.simpleString()}" for c in rest] + ["x array<double>"]))
 
@@ -193,7 +194,8 @@ def fit(x: np.ndarray, y: np.ndarray) -> Gam:
 def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Gam:
     """Learns from the labels outside the held-out fifth; only these texts are measured."""
     known = labelled(labels).filter(~held_out()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows).select("doc_id", "quality")
-    rows = features(texts(docs).join(F.broadcast(known), "doc_id")).toPandas()  # at most train_rows rows of three numbers
+    own = one_text(texts(docs).join(F.broadcast(known), "doc_id"))
+    rows = features(own).toPandas()  # at most train_rows rows of as many numbers as there are features
     if not len(rows):
         return Gam(0.0)
     return fit(np.array(rows["x"].tolist(), float), rows["quality"].to_numpy(float))
@@ -204,8 +206,9 @@ def score(docs: DataFrame, model: Gam) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array([measure(t.as_py()) for t in batch.column(1)], float).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(x))], names=["doc_id", "score"])
+            for part in slices(batch, 1):
+                x = np.array([measure(t.as_py()) for t in part.column(1)], float).reshape(-1, len(FEATURES))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(model.score(x))], names=["doc_id", "score"])
 
     return texts(docs).mapInArrow(run, "doc_id long, score double")
 
@@ -213,4 +216,4 @@ def score(docs: DataFrame, model: Gam) -> DataFrame:
 def op3_gam_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     scored = score(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
-    return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

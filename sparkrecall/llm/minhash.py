@@ -12,7 +12,7 @@ explosion into shingle rows. Only the query's "next document" moves texts, once.
 
 Defined results: a text of fewer than five words is one shingle; a text without words (empty, blank, null) has a
 fingerprint of zeros and `words` false, likeness 1 to another such and 0 to any other; repeated rows have a row
-each and stand side by side; a null doc_id sorts first; an empty table gives no rows; other columns are ignored.
+each; rows that share an id, or have none (they come first), stand in the order of a hash of their texts; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,9 +26,11 @@ SHINGLE, BINS, LOW_BITS, TRIES = 5, 256, 8, 24
 _HALF = 1 << (LOW_BITS - 1)
 #: A hash keeps 62 bits: the bin's number above, HASH_BITS below.
 HASH_BITS = 54
-#: 2^RUN_BITS consecutive ids find their next document together.
-RUN_BITS = 10
-#: Runs whose first ids are broadcast (24 bytes each).
+#: 2^RUN_BITS consecutive ids find their next document together, RUNS_A_TASK such runs in a task.
+RUN_BITS, RUNS_A_TASK = 8, 32
+#: Rows without an id are dealt into 2^NULL_BITS runs by a hash of their texts.
+NULL_BITS = 12
+#: Runs whose first ids are broadcast (40 bytes each).
 SENT_RUNS = 200_000
 
 
@@ -49,11 +51,11 @@ def with_bins(table: DataFrame, text: str, name: str) -> DataFrame:
     """Adds `name`: an array of BINS values of LOW_BITS (at most 8) bits, as signed bytes; null for a text without words."""
     rest = table.columns
     marks = F.array(*[F.lit(((b + 1) << HASH_BITS) - 1) for b in range(BINS)])
-    step = table.select("*", word_hashes(text).alias("_h"))
-    step = step.select(*rest, F.size("_h").alias("_n"), F.sort_array(F.concat(_shingles("_h"), marks)).alias("_s"))
+    step = table.select("*", word_hashes(text).alias("__words"))
+    step = step.select(*rest, F.size("__words").alias("__n"), F.sort_array(F.concat(_shingles("__words"), marks)).alias("__sorted"))
     # the first of each bin: one value a bin, in the order of the bins
-    first = F.filter("_s", lambda x, i: (i == 0) | (F.shiftright(x, HASH_BITS) != F.shiftright(F.get("_s", i - 1), HASH_BITS)))
-    step = step.select(*rest, "_n", first.alias("_b"))
+    first = F.filter("__sorted", lambda x, i: (i == 0) | (F.shiftright(x, HASH_BITS) != F.shiftright(F.get("__sorted", i - 1), HASH_BITS)))
+    step = step.select(*rest, "__n", first.alias("__firsts"))
     empty_mark = F.lit((1 << HASH_BITS) - 1)
 
     def own(x: Column) -> Column:
@@ -62,15 +64,15 @@ def with_bins(table: DataFrame, text: str, name: str) -> DataFrame:
         return F.when(low != empty_mark, low)
 
     def tried(i: Column) -> list[Column]:
-        return [own(F.get("_b", F.pmod(F.xxhash64(i, F.lit(t)), F.lit(BINS)).cast("int"))) for t in range(TRIES)]
+        return [own(F.get("__firsts", F.pmod(F.xxhash64(i, F.lit(t)), F.lit(BINS)).cast("int"))) for t in range(TRIES)]
 
     def last(i: Column) -> Column:
         """Of all bins that are not empty, the one that comes first in the bin's own order of bins."""
-        order = F.transform("_b", lambda x, j: F.when(own(x).isNotNull(), F.struct(F.xxhash64(i, F.lit(TRIES), j).alias("order"), own(x).alias("low"))))
+        order = F.transform("__firsts", lambda x, j: F.when(own(x).isNotNull(), F.struct(F.xxhash64(i, F.lit(TRIES), j).alias("order"), own(x).alias("low"))))
         return F.array_min(F.filter(order, lambda x: x.isNotNull())).getField("low")
 
-    filled = F.transform("_b", lambda x, i: (F.xxhash64(F.coalesce(own(x), *tried(i), last(i)), i).bitwiseAND(F.lit((1 << LOW_BITS) - 1)) - _HALF).cast("byte"))
-    return step.select(*rest, F.when(F.col("_n") > 0, filled).alias(name))
+    filled = F.transform("__firsts", lambda x, i: (F.xxhash64(F.coalesce(own(x), *tried(i), last(i)), i).bitwiseAND(F.lit((1 << LOW_BITS) - 1)) - _HALF).cast("byte"))
+    return step.select(*rest, F.when(F.col("__n") > 0, filled).alias(name))
 
 
 def packed(bins: str) -> Column:
@@ -95,30 +97,49 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return made.select("doc_id", F.col("bins").isNotNull().alias("words"), packed("bins").alias("fingerprint"))
 
 
+def previous(keys: DataFrame, levels: int = 2, bits: int = 18) -> DataFrame:
+    """(k, before): before each key (distinct longs k) the next smaller one, before the least the greatest.
+
+    Keys meet those with equal upper bits, so that a window has at most 2^bits rows; the first of such a group follows
+    the last of the group before, found in the same way from the upper bits alone.
+    """
+    if not levels:
+        return keys.select("k", F.coalesce(F.lag("k").over(Window.orderBy("k")), F.max("k").over(Window.partitionBy())).alias("before"))
+    own = keys.select("k", F.shiftright("k", bits).alias("p"))
+    tops = own.groupBy("p").agg(F.max("k").alias("last"))
+    above = previous(tops.select(F.col("p").alias("k")), levels - 1, bits).select(F.col("k").alias("p"), F.col("before").alias("q"))
+    ends = above.join(tops.select(F.col("p").alias("q"), "last"), "q").select("p", "last")
+    lag = F.lag("k").over(Window.partitionBy("p").orderBy("k"))
+    return own.select("k", "p", lag.alias("before")).join(ends, "p").select("k", F.coalesce("before", "last").alias("before"))
+
+
 def in_runs(docs: DataFrame) -> DataFrame:
-    """doc_id, text, with the run of consecutive ids (`_run`) whose rows find their next one together.
+    """doc_id, text, with the run of consecutive ids (`_run`) whose rows find their next one together, dealt out by run.
 
     The first row of each run also goes, marked as `_ghost`, to the end of the run before, the very first to the
-    end of the last. Between runs only one number per run is ordered.
+    end of the last. Between runs only two numbers per run are ordered.
     """
-    table = texts(docs)
-    runs = table.withColumn("_run", F.coalesce(F.shiftright("doc_id", RUN_BITS), F.lit(-(1 << 62))))
-    firsts = runs.groupBy("_run").agg(F.min("doc_id").alias("_least"))
-    before = F.coalesce(F.lag("_run").over(Window.orderBy("_run")), F.max("_run").over(Window.partitionBy()))
-    firsts = firsts.select("_run", "_least", before.alias("_before"))
-    firsts = keep(firsts, "runs")
-    # two numbers for a thousand documents: sent to all tasks while that is small, else joined by run
-    firsts = F.broadcast(firsts) if firsts.count() <= SENT_RUNS else firsts
-    heads = runs.join(firsts, "_run").filter(F.col("doc_id").eqNullSafe(F.col("_least")))
-    heads = heads.groupBy("_run").agg(F.first("doc_id").alias("doc_id"), F.min("text").alias("text"), F.first("_before").alias("_before"))
-    return runs.withColumn("_ghost", F.lit(False)).unionByName(heads.select("doc_id", "text", F.col("_before").alias("_run"), F.lit(True).alias("_ghost")))
+    table = texts(docs).withColumn("_h", F.xxhash64("text"))
+    nameless = F.lit(-(1 << 62)) + F.shiftright("_h", 64 - NULL_BITS)
+    runs = table.withColumn("_run", F.coalesce(F.shiftright("doc_id", RUN_BITS), nameless))
+    firsts = keep(runs.groupBy("_run").agg(F.min(F.struct("doc_id", "_h")).alias("_least")), "runs")
+    n = firsts.count()
+    before = previous(firsts.select(F.col("_run").alias("k"))).select(F.col("k").alias("_run"), F.col("before").alias("_before"))
+    firsts = keep(firsts.join(before, "_run"), "runs-before")
+    # a few numbers for each run: sent to all tasks while that is small, else joined by run
+    sent = F.broadcast(firsts) if n <= SENT_RUNS else firsts
+    heads = runs.join(sent, "_run").filter(F.struct("doc_id", "_h").eqNullSafe(F.col("_least")))
+    heads = heads.groupBy("_run").agg(F.first("doc_id").alias("doc_id"), F.min("text").alias("text"), F.first("_h").alias("_h"), F.first("_before").alias("_before"))
+    both = runs.withColumn("_ghost", F.lit(False)).unionByName(heads.select("doc_id", "text", "_h", F.col("_before").alias("_run"), F.lit(True).alias("_ghost")))
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return both.repartition(max(least, -(-n // RUNS_A_TASK)), "_run")
 
 
 def with_next(rows: DataFrame, columns: list[str]) -> DataFrame:
     """Adds next_<c>: the columns of the row that follows in ascending doc_id, after the last the first; takes the output of
-    `in_runs`, by then with more columns. Texts are dealt out once, by run."""
-    w = Window.partitionBy("_run").orderBy("_ghost", F.col("doc_id").asc_nulls_first(), "text")
-    return rows.select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in columns]).filter("not _ghost").drop("_ghost", "_run")
+    `in_runs`, by then with more columns."""
+    w = Window.partitionBy("_run").orderBy("_ghost", F.col("doc_id").asc_nulls_first(), "_h", "text")
+    return rows.select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in columns]).filter("not _ghost").drop("_ghost", "_run", "_h")
 
 
 def op5_one_permutation_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,8 +7,8 @@ below its source's threshold: one filter. What the boundary document leaves open
 documents behind it that fit, found by the same search; four nested thresholds bring a source within a few words.
 
 Defined results: a null text has size 0; a null source is a source of its own, last; repeated rows of an id share
-a hash and are taken together; a null doc_id hashes like an empty text; an empty table gives no rows; other
-columns, whatever their names, are ignored.
+a hash and are taken together; a row without a doc_id hashes its text (equal texts are then taken together); an empty
+table gives no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -29,11 +29,15 @@ END = 1 << 60
 ROUNDS = 4
 
 
+def hash60() -> F.Column:
+    """60 bits of the md5 of a row's id, of its text where it has no id."""
+    return F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.col("text")), F.lit(""))), 1, 15), 16, 10).cast("long")
+
+
 def sized(docs: DataFrame) -> DataFrame:
     """doc_id, source, size, h and text-free: a narrow row per document."""
-    h = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long")
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", size.alias("size"), h.alias("h"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", size.alias("size"), hash60().alias("h"))
 
 
 def targets(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
@@ -121,9 +125,8 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """The rows of docs that the mix takes, each as often as it is taken; one without words costs nothing and stays once."""
     rows = keep(sized(docs), "mix-rows")
     found = thresholds(rows, **how)
-    h = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long")
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    own = docs.select(F.struct(*docs.columns).alias("row"), "source", size.alias("size"), h.alias("h"))
+    own = docs.select(F.struct(*docs.columns).alias("row"), "source", size.alias("size"), hash60().alias("h"))
     n = F.when(F.col("size") > 0, times()).otherwise(1).cast("int")
     taken = _with(own, found).select("row", n.alias("n")).filter("n > 0")
     return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("n")))).select("row.*")
@@ -136,7 +139,7 @@ def op10_hash_threshold_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = r"""
 WITH docs AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h
+         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'text ' || text, '')), 1, 15) AS BIGINT) AS h
   FROM documents),
 src AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM docs GROUP BY source),
 weighed AS (

@@ -1,8 +1,10 @@
 """Toxicity by a classifier chain: categories one after the other, each model seeing the earlier ones' answers.
 
-The chain is low_quality, toxic, severe. `toxic` and `low_quality` come from the labels; `severe` marks the toxic
-half in which the words that the labels tie to toxicity are densest, so that it has a label too. Each category has
-a logistic model over the presence of words, and one input for every earlier category: in training its
+The chain is low_quality, toxic, severe. `toxic` and `low_quality` come from the labels; low_quality is no kind of
+toxicity but a label that bears on it. `severe` has no label of its own and is weak supervision: it marks the half of
+the toxic training documents in which the words that the labels tie to toxicity are densest. Its model sees the same
+words, so it grades toxicity by a rule it is taught, and says nothing that `toxic` has not been told by the labels. Each
+category has a logistic model over the presence of words, and one input for every earlier category: in training its
 out-of-fold prediction (so a later model never sees an answer learned from the row itself), in scoring the earlier
 model's probability.
 
@@ -12,9 +14,10 @@ the vocabulary. The models are fitted on the driver on these rows, each reduced
 Scoring takes every whole text, with two constants of bounded size, the vocabulary and the weights.
 
 Defined results: a null or empty text has no words and gets the models' base rates; repeated rows have a row each;
-contradicting labels of an id are averaged, a half counts as 1; labels without a document, or null, are ignored;
-with no training rows, or with one class only, a category's probability is the share of that class (0 without
-rows); a null doc_id is scored but can't be labelled; other columns are ignored.
+contradicting labels of an id are averaged, a half counts as 1, and of unlike texts of one id the smallest is learned
+from; labels without a document, or null, are ignored; with no training rows, or with one class only, a category's probability is the share of that class (0 without
+rows); a null doc_id is scored, but can't be labelled and counts as not
+held out; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, keep, texts
+from .common import documents, keep, slices, texts
 from .tokens import release
 
 CHAIN = ("low_quality", "toxic", "severe")
@@ -70,7 +73,7 @@ class Finder:
 
 
 def held_out(doc_id: str = "doc_id") -> F.Column:
-    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % HOLD_OUT == 0
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % HOLD_OUT == 0, F.lit(False))
 
 
 def labelled(labels: DataFrame) -> DataFrame:
@@ -79,6 +82,12 @@ def labelled(labels: DataFrame) -> DataFrame:
     return by.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("q") >= 0.5).cast("int").alias("quality"), (F.col("t") >= 0.5).cast("int").alias("toxic"))
 
 
+def one_text(rows: DataFrame) -> DataFrame:
+    """One row for each doc_id, with the smallest of its texts: what is learned from is bounded by the labels taken."""
+    rest = [c for c in rows.columns if c not in ("doc_id", "text")]
+    return rows.groupBy("doc_id").agg(F.min("text").alias("text"), *[F.first(c).alias(c) for c in rest])
+
+
 @dataclass
 class Chain:
     """Vocabulary and, per category, weights of the words, of the earlier categories and the bias."""
@@ -161,13 +170,12 @@ def fit_chain(rows: list[list[int]], targets: dict[str, np.ndarray], vocabulary:
 def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, vocabulary: int = VOCABULARY) -> Chain:
     """Learns a chain from the labels outside the held-out fifth."""
     known = labelled(labels).filter(~held_out()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
-    rows = texts(docs).join(F.broadcast(known), "doc_id")  # at most train_rows rows of three numbers
+    rows = one_text(texts(docs).join(F.broadcast(known), "doc_id"))  # at most train_rows rows of three numbers are sent
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
+            for part in slices(batch, 1):
                 found = [sorted(words(t)) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), pa.array(found, pa.list_(pa.string()))], names=["doc_id", "quality", "toxic", "words"])
 
@@ -217,10 +225,10 @@ def _score(table: DataFrame, chain: Chain) -> DataFrame:
         release()
         find = Finder(chain.vocabulary)
         for batch in batches:
-            at = batch.schema.get_field_index("text")
-            rows = [find(t.as_py() or "") for t in batch.column(at)]
-            p = chain.score(rows)
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(p[:, k]) for k in range(len(names)))], names=[*batch.schema.names, *names])
+            for part in slices(batch, "text"):
+                rows = [find(t.as_py() or "") for t in part.column(part.schema.get_field_index("text"))]
+                p = chain.score(rows)
+                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(p[:, k]) for k in range(len(names)))], names=[*part.schema.names, *names])
 
     return table.mapInArrow(run, schema)
 

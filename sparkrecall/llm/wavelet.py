@@ -6,7 +6,7 @@ each plane. With these, `WaveletMatrix` gives any token, counts an id in a range
 without decoding the shard. A task writes its shards to one compressed file.
 
 Defined results: a null or empty text holds the end id alone; repeated rows are documents of their own, side
-by side, ordered by text; a null doc_id sorts first; an empty table gives no rows; other columns are ignored.
+by side, ordered by a hash of their texts; a null doc_id sorts first; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, new_path, texts
+from .common import documents, new_path, slices, texts
 from .tokens import encoder, tokenizer_path
 
 END_ID = 2
@@ -112,8 +112,18 @@ class WaveletMatrix:
             at = self._select_bit(level, bit, at - self.zeros[level] if bit else at)
         return at
 
-    def occurrences(self, token: int) -> list[int]:
-        return [self.select(token, k) for k in range(self.count(token))]
+    def occurrences(self, token: int) -> np.ndarray:
+        """All positions of an id, ascending: its run in the last plane's order is walked up, plane by plane at once."""
+        if not 0 <= token < 1 << len(self.zeros):
+            return np.zeros(0, np.int64)
+        at = np.arange(*self._range(token, 0, self.n), dtype=np.int64)
+        for level in range(len(self.zeros) - 1, -1, -1):
+            if not len(at):
+                break
+            bit = token >> (len(self.zeros) - 1 - level) & 1
+            of_bit = np.flatnonzero(self._bits(level) == bool(bit))
+            at = of_bit[at - self.zeros[level] if bit else at]
+        return at
 
     def decode(self) -> np.ndarray:
         """All ids, from the last plane up."""
@@ -132,7 +142,8 @@ class WaveletMatrix:
 def write_shards(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS) -> None:
     """Encodes whole texts, each followed by end_id, and writes them as wavelet matrices in ascending doc_id order.
 
-    The range partitioning by doc_id is the only shuffle; a task holds one shard at a time, and a shard ends at
+    The range partitioning by doc_id, then by a hash of the text (so that rows that share an id, or have none, can be
+    dealt to many tasks), is the only shuffle; a task holds one shard at a time, and a shard ends at
     the first document boundary at or after `shard_tokens` ids.
     """
     tokenizer = tokenizer or tokenizer_path()
@@ -155,8 +166,8 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.binary())]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row.values(), kinds)], names=list(row))
 
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for part_ids, texts_ in (s.columns for batch in batches for s in slices(batch, 1)):
+            for doc_id, text in zip(part_ids.to_pylist(), texts_.to_pylist()):
                 ids.append(doc_id)
                 held.append(code.ids(text) + end)
                 size += len(held[-1]) // 4
@@ -166,7 +177,8 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
         if held:
             yield shard()
 
-    ordered = texts(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = texts(docs).withColumn("h", F.xxhash64("text"))
+    ordered = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
     ordered.mapInArrow(shards, SHARD_SCHEMA).write.option("compression", "zstd").parquet(path)
 
 
@@ -181,7 +193,8 @@ def _matrix(row: dict) -> WaveletMatrix:
 def read_documents(shards: DataFrame) -> DataFrame:
     """Per document, from the planes: doc_id, start, n_tokens and the checksum of its ids.
 
-    A shard's first position comes from a running sum over one narrow row per shard.
+    A shard's first position comes from a running sum over the shards of its file, and one over the files' totals: a
+    number for each task that wrote.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,8 +216,12 @@ def read_documents(shards: DataFrame) -> DataFrame:
                 )
 
     own = shards.mapInArrow(read, "part int, shard int, doc_id long, own_start long, n_tokens long, ids_crc32 long")
-    before = F.sum("n_tokens").over(Window.orderBy("part", "shard").rowsBetween(Window.unboundedPreceding, -1))
-    firsts = shards.select("part", "shard", "n_tokens").select("part", "shard", F.coalesce(before, F.lit(0)).alias("first"))
+    narrow = shards.select("part", "shard", "n_tokens")
+    within = Window.partitionBy("part").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    files = narrow.groupBy("part").agg(F.sum("n_tokens").alias("n"))
+    files = files.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    firsts = narrow.select("part", "shard", F.coalesce(F.sum("n_tokens").over(within), F.lit(0)).alias("within")).join(files, "part")
+    firsts = firsts.select("part", "shard", (F.col("base") + F.col("within")).alias("first"))
     return own.join(firsts, ["part", "shard"]).select("doc_id", (F.col("first") + F.col("own_start")).alias("start"), "n_tokens", "ids_crc32")
 
 
@@ -220,12 +237,14 @@ def count_token(shards: DataFrame, token: int) -> DataFrame:
 
 
 def locate_token(shards: DataFrame, token: int) -> DataFrame:
-    """part, shard, at: each place of an id within its shard, by select."""
+    """part, shard, at: each place of an id within its shard."""
 
     def find(batches):
         for batch in batches:
-            rows = [(r["part"], r["shard"], at) for k in range(batch.num_rows) for r in batch.slice(k, 1).to_pylist() for at in _matrix(r).occurrences(token)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.int64()))], names=["part", "shard", "at"])
+            for k in range(batch.num_rows):
+                (row,) = batch.slice(k, 1).to_pylist()
+                at = _matrix(row).occurrences(token)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), row["part"], np.int32)), pa.array(np.full(len(at), row["shard"], np.int32)), pa.array(at)], names=["part", "shard", "at"])
 
     return shards.mapInArrow(find, "part int, shard int, at long")
 

@@ -1,4 +1,5 @@
 import hashlib
+import zlib
 
 import numpy as np
 import pytest
@@ -59,15 +60,38 @@ def test_columns(spark, tmp_path):
     assert bytes(back["pcm"]) == tone.tobytes()
 
 
-def test_texts(spark):
-    got = audio.read_features(audio.store_texts(docs(spark))).collect()
+def plain_features(x):
+    x = [int(v) for v in x]
+    return f"peak={max(map(abs, x))};rms={int((sum(v * v for v in x) / len(x)) ** 0.5)};zero={sum((a >= 0) != (b >= 0) for a, b in zip(x, x[1:]))}"
+
+
+def half_rate(x):
+    """8,000 to 4,000 a second: the mean of each sample and the next (the last stands for itself), every other one."""
+    x = [int(v) for v in x]
+    return np.rint([(x[k] + x[min(k + 1, len(x) - 1)]) / 2 for k in range(0, len(x) // 2 * 2, 2)]).astype("<i2")
+
+
+def test_query(spark, tmp_path):
+    """op8's columns, each made anew in plain Python, through the stored tables."""
+    docs(spark).write.parquet(f"{tmp_path}/documents.parquet")
+    got = audio.op8_telephony_audio(spark, str(tmp_path)).collect()
     assert len(got) == len(ROWS)
     for r in got:
         own = {t for i, t, *_ in ROWS if i == r["doc_id"]}
         data = (own.pop() or "").encode()
         padded = data + b"\xff" * (-len(data) % 576 or (0 if data else 576))
-        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"]) == (len(data), len(padded), hashlib.sha256(padded).hexdigest())
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(data), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-32:]))
         media = audio.write_wav(audio.MULAW, padded)
         assert (r["media_bytes"], r["media_sha256"]) == (len(media), hashlib.sha256(media).hexdigest())
+        if len(padded) < 20_000:
+            pcm = half_rate(audio.mulaw_table()[list(padded)])
+            ima = [v for k in range(0, len(padded), 192) for v in scalar_ima(padded[k : k + 192])]
+            want = f"mulaw:{plain_features(pcm)};pcm_crc32={zlib.crc32(pcm.tobytes())}|alaw:{plain_features(audio.alaw_table()[list(padded)])}|ima:{plain_features(ima)}"
+            assert r["feature"] == want
     assert len({r["feature"] for r in got if r["doc_id"] in (0, 1)}) == 1
-    assert audio.read_features(audio.store_texts(none(spark))).count() == 0
+    assert audio.read_features(audio.decode_texts(audio.store_texts(none(spark)))).count() == 0
+
+
+def test_clashing_columns(spark):
+    with pytest.raises(ValueError):
+        audio.decode(spark.createDataFrame([(b"x", b"y")], "media binary, pcm binary"))

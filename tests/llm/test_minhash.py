@@ -34,15 +34,74 @@ def test_wordless(spark):
     assert pair(spark, [("", " "), ("", "a b"), ("a b", "a  b"), ("a b c d e f", "a b c d e f")]) == [1.0, 0.0, 1.0, 1.0]
 
 
+def xx(spark, values):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(v,) for v in values], "t string").select("t", F.xxhash64("t").alias("h"))
+    return {r["t"]: r["h"] for r in df.distinct().collect()}
+
+
+HOT = [*ROWS, *[(None, f"nameless {k % 7}", "en", "a") for k in range(30)], *[(5, f"five {k % 9}", "en", "a") for k in range(30)]]
+
+
+def in_order(spark, rows):
+    h = xx(spark, [t or "" for _, t, *_ in rows])
+    return sorted(((i is not None, i or 0, h[t or ""], t or "") for i, t, *_ in rows))
+
+
 @pytest.mark.parametrize("bits", [1, 10])
 def test_next_document(spark, monkeypatch, bits):
+    """Also with most rows under no id or under one."""
     monkeypatch.setattr(minhash, "RUN_BITS", bits)
-    got = minhash.with_next(minhash.in_runs(docs(spark).repartition(3)), ["text"])
-    order = sorted(((i is not None, i or 0, t or "") for i, t, *_ in ROWS))
-    want = [(i if k else None, t, order[(n + 1) % len(order)][2]) for n, (k, i, t) in enumerate(order)]
+    got = minhash.with_next(minhash.in_runs(docs(spark, HOT).repartition(3)), ["text"])
+    order = in_order(spark, HOT)
+    want = [(i if k else None, t, order[(n + 1) % len(order)][3]) for n, (k, i, _, t) in enumerate(order)]
     assert sorted(str((r["doc_id"], r["text"], r["next_text"])) for r in got.collect()) == sorted(map(str, want))
 
 
+@pytest.mark.parametrize("bits", [1, 3, 18])
+def test_previous(spark, bits):
+    rnd = random.Random(bits)
+    keys = sorted({rnd.choice([rnd.randrange(-20, 20), rnd.randrange(-(1 << 62), 1 << 62)]) for _ in range(80)})
+    got = dict(map(tuple, minhash.previous(spark.createDataFrame([(k,) for k in keys], "k long"), 2, bits).collect()))
+    assert got == {k: keys[n - 1] for n, k in enumerate(keys)}
+
+
+def test_densification(spark):
+    """Few shingles leave most bins empty; equal sets fill alike, and likeness stays unbiased on average."""
+    rnd, texts, want = random.Random(3), [], []
+    for _ in range(150):
+        own = [f"w{rnd.randrange(10**6)}" for _ in range(9)]
+        other = own[:7] + [f"v{rnd.randrange(10**6)}" for _ in range(2)]
+        texts.append((" ".join(own), " ".join(other)))
+        a, b = (shingles(t) for t in texts[-1])
+        want.append(len(a & b) / len(a | b))
+    got = pair(spark, texts)
+    assert abs(sum(got) - sum(want)) / len(want) < 0.03
+    assert pair(spark, [("a b c d e f", "a  b c d e f ")]) == [1.0]
+
+
+def test_query(spark, tmp_path):
+    """op5's columns, each made anew in Python over a small table."""
+    import hashlib
+
+    rows = [(k * 3, " ".join(f"w{(k * j) % 37}" for j in range(k % 40)) + "é" * (k % 3), "en", "a") for k in range(60)] + [(1, None, "en", "a"), (2, "", "en", "a")]
+    docs(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in minhash.op5_one_permutation_minhash(spark, str(tmp_path)).collect()}
+    order = sorted((i, t or "") for i, t, *_ in rows)
+    assert len(got) == len(order)
+    every = {}
+    for n, (i, t) in enumerate(order):
+        after, half = order[(n + 1) % len(order)][1], len(t) // 2
+        edited = t[: len(t) - half] + after[:half]
+        assert (got[i]["n_chars"], got[i]["edited_sha256"]) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
+        for text, print_ in ((t, got[i]["fingerprint"]), (edited, got[i]["edited_fingerprint"])):
+            assert every.setdefault(text, print_) == print_
+        for other, near in ((edited, "near_edited"), (after, "near_next")):
+            a, b = shingles(t), shingles(other)
+            assert abs(got[i][near] - (len(a & b) / len(a | b) if a | b else 1.0)) < 0.15
+
+
 def test_fingerprints(spark):
     got = {(r["doc_id"], r["fingerprint"]) for r in minhash.fingerprints(docs(spark)).collect()}
     by = dict(got)
