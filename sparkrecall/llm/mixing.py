@@ -126,10 +126,11 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     rows = keep(sized(docs), "mix-rows")
     found = thresholds(rows, **how)
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    own = docs.select(F.struct(*docs.columns).alias("row"), "source", size.alias("size"), hash60().alias("h"))
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "source", size.alias("size"), hash60().alias("h"))
     n = F.when(F.col("size") > 0, times()).otherwise(1).cast("int")
     taken = _with(own, found).select("row", n.alias("n")).filter("n > 0")
-    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("n")))).select("row.*")
+    every = taken.select("row", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    return every.select([F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def op10_hash_threshold_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,9 +9,11 @@ keeps pairs whose Manhattan distance is at most 2, and then those whose fingerpr
 Counts 0, 1, 2 are kept in unary (00, 01, 11), which packs a point into one long: the Manhattan distance is then
 the number of differing bits of two packed points.
 
-Only distinct fingerprints are joined, so exact copies cost one row. A cell with over `CELL_MOST` of them is
-linked another exact way: fingerprints within two bits share a fingerprint that is at most one bit from either,
-and each fingerprint has 65 such neighbours, so the rows grow with the cell and not with its square.
+Only distinct fingerprints are joined, so exact copies cost one row. Those with a cell of over `CELL_MOST` of them go
+through finer grids (six of eight blocks, then fourteen of sixteen), whose cells are smaller by the same argument; only
+points that crowd even the finest cells, which differ in at most four coordinates, are linked another exact way:
+fingerprints within two bits share a fingerprint that is at most one bit from either, and each fingerprint has 65 such
+neighbours, so the rows grow with the cell and not with its square.
 
 Defined results: a text without words (empty, blank, null) has fingerprint zero and links like any other; a null
 doc_id has a row, and is a component's id only where no other id is in it (then null); repeated rows have one row
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, keep, texts
+from .common import documents, forget, keep, slices, texts
 from .components import connected_components
 from .tokens import release
 
@@ -66,8 +68,9 @@ def fingerprints(docs: DataFrame, key: F.Column | None = None) -> DataFrame:
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         for batch in batches:
-            own = np.array([fingerprint(t.as_py()) for t in batch.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own), *batch.columns[2:]], names=["doc_id", "fp", *more])
+            for part in slices(batch, 1):
+                own = np.array([fingerprint(t.as_py()) for t in part.column(1)], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own), *part.columns[2:]], names=["doc_id", "fp", *more])
 
     rows = rows if key is None else rows.withColumn("key", key)
     return rows.mapInArrow(make, "doc_id long, fp long" + ", key string" * len(more))
@@ -84,32 +87,47 @@ def embedding(fp: str = "fp") -> F.Column:
     return low.bitwiseOR(high)
 
 
-def _cells() -> list[int]:
-    """Masks of the ten grids: three of five blocks of segments each."""
-    sizes, masks, at = (7, 7, 6, 6, 6), [], 0
-    for s in sizes:
-        masks.append(((1 << 2 * s) - 1) << 2 * at)
-        at += s
-    return [_signed(a | b | c) for a, b, c in combinations(masks, 3)]
+def _cells(blocks: int) -> list[int]:
+    """Masks of the grids that leave out two of `blocks` blocks of segments each."""
+    ends = [round(k * 32 / blocks) for k in range(blocks + 1)]
+    masks = [((1 << 2 * (b - a)) - 1) << 2 * a for a, b in zip(ends, ends[1:])]
+    return [_signed(sum(chosen)) for chosen in combinations(masks, blocks - 2)]
 
 
-def links(fps: DataFrame, cell_most: int = CELL_MOST) -> DataFrame:
-    """(a, b): links among distinct fingerprints that join everything within two bits, directly or by steps of such."""
-    grid = F.explode(F.array(*[F.struct(F.lit(k).alias("grid"), F.col("at").bitwiseAND(F.lit(m)).alias("cell")) for k, m in enumerate(_cells())])).alias("c")
+def _grid_links(fps: DataFrame, blocks: int, cell_most: int) -> tuple[DataFrame, DataFrame]:
+    """(links within cells, the fingerprints that have a cell of more than cell_most)."""
+    grid = F.explode(F.array(*[F.struct(F.lit(k).alias("grid"), F.col("at").bitwiseAND(F.lit(m)).alias("cell")) for k, m in enumerate(_cells(blocks))])).alias("c")
     cells = fps.select("fp", embedding().alias("at")).select("fp", "at", grid).select("fp", "at", "c.grid", "c.cell")
-    sizes = cells.groupBy("grid", "cell").agg(F.count("*").alias("n")).filter("n > 1")
+    # a table of its own, so that the join has plain exchanges on either side and a hot cell can be split
+    sizes = keep(cells.groupBy("grid", "cell").agg(F.count("*").alias("n")).filter("n > 1"), "cell-sizes")
     shared = keep(cells.join(sizes, ["grid", "cell"]), "cells")
     light = shared.filter(F.col("n") <= cell_most)
     x, y = light.select("grid", "cell", F.col("fp").alias("a"), F.col("at").alias("p")), light.select("grid", "cell", F.col("fp").alias("b"), F.col("at").alias("q"))
     near = (F.col("x.grid") == F.col("y.grid")) & (F.col("x.cell") == F.col("y.cell")) & (F.col("a") < F.col("b"))
     near &= (F.bit_count(F.col("p").bitwiseXOR(F.col("q"))) <= BITS) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= BITS)
     pairs = x.alias("x").join(y.alias("y"), near).select("a", "b")
-    crowded = shared.filter(F.col("n") > cell_most).select("fp").distinct()
+    pairs, crowded = keep(pairs, "near"), keep(shared.filter(F.col("n") > cell_most).select("fp").distinct(), "crowded")
+    forget(sizes, shared)
+    return pairs, crowded
+
+
+#: Blocks of segments of the grids, one after the other for what is crowded in the one before.
+GRIDS = (5, 8, 16)
+
+
+def links(fps: DataFrame, cell_most: int = CELL_MOST, grids: tuple[int, ...] = GRIDS) -> DataFrame:
+    """(a, b): links among distinct fingerprints that join everything within two bits, directly or by steps of such."""
+    out, crowded = None, fps
+    for blocks in grids:
+        pairs, crowded = _grid_links(crowded, blocks, cell_most)
+        out = pairs if out is None else out.union(pairs)
+        if crowded.isEmpty():
+            return out.distinct()
     flips = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(_signed(1 << k))) for k in range(64)])
     around = crowded.select("fp", F.explode(flips).alias("near"))
-    heads = around.groupBy("near").agg(F.min("fp").alias("b"), F.count("*").alias("n")).filter("n > 1")
+    heads = keep(around.groupBy("near").agg(F.min("fp").alias("b"), F.count("*").alias("n")).filter("n > 1"), "neighbours")
     stars = around.join(heads, "near").filter("fp <> b").select(F.col("fp").alias("a"), "b")
-    return pairs.union(stars).distinct()
+    return out.union(stars).distinct()
 
 
 def _classes(own: DataFrame, cell_most: int = CELL_MOST) -> DataFrame:
@@ -128,23 +146,22 @@ def near_duplicates(docs: DataFrame, cell_most: int = CELL_MOST) -> DataFrame:
     return own.join(_classes(own, cell_most), "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_first(docs: DataFrame, nameless: bool = False) -> DataFrame:
+def keep_first(docs: DataFrame) -> DataFrame:
     """One row of docs per component: that of its smallest doc_id, and of different texts with that id one of the component.
 
-    Rows without a doc_id can't stand for a group that has an id; with `nameless`, a group without any id keeps one of
-    them too.
+    A row without a doc_id stands for its component only where no row of it has one. Rows of one id with unlike texts
+    count one by one: each belongs to the component of its own text.
     """
-    named = docs if nameless else docs.filter("doc_id is not null")
-    own = keep(fingerprints(named, F.md5("text")), "simhash")
+    own = keep(fingerprints(docs, F.md5("text")), "simhash")
     classes = _classes(own.select("doc_id", "fp"))
     # the text tells apart rows of one id that belong to different groups
     heads = own.join(classes, "fp").filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    heads = heads.groupBy("root").agg(F.min("doc_id").alias("_id"), F.min("key").alias("_key")).select("_id", "_key")
-    key = F.md5(F.coalesce(F.col("text"), F.lit("")))
-    own_rows = named.withColumn("_text_key", key)
-    same = (F.col("_text_key") == F.col("_key")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))
-    kept = own_rows.join(heads, same, "left_semi")
-    return kept.dropDuplicates(["doc_id", "_text_key"]).select(docs.columns)
+    heads = heads.groupBy("root").agg(F.min("doc_id").alias("id"), F.min("key").alias("key"))
+    heads = keep(heads.select(F.coalesce(F.col("id").cast("string"), F.lit("null")).alias("id"), "key"), "heads")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(row.alias("row"), F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("null")).alias("id"), F.md5(F.coalesce(F.col("text"), F.lit(""))).alias("key"))
+    kept = rows.join(heads, ["id", "key"], "left_semi").dropDuplicates(["id", "key"])
+    return kept.select([F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def op6_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -236,8 +236,10 @@ def _score(table: DataFrame, chain: Chain) -> DataFrame:
 def kept_documents(docs: DataFrame, labels: DataFrame, reject: float = REJECT) -> DataFrame:
     """The rows of docs that the chain does not reject as toxic."""
     chain = train(docs, labels)
-    inner = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
-    return _score(inner, chain).filter(F.col("toxic") < reject).select("row.*")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    inner = docs.select(row.alias("row"), F.coalesce("text", F.lit("")).alias("text"))
+    kept = _score(inner, chain).filter(F.col("toxic") < reject)
+    return kept.select([F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def op7_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -72,7 +72,34 @@ def test_documents(spark):
         got.setdefault(r["doc_id"], set()).add(r["component_id"])
     assert got[0] == got[1] == {0} and got[2] == got[3] == got[4] == {2} and got[9] == {9} and got[None] == {None} and got[-3] == {-3}
     kept = simhash.keep_first(docs(spark))
-    assert sorted(r["doc_id"] for r in kept.collect()) == [-3, 0, 2, 5, 6, 7, 8, 9, 12] and kept.columns == docs(spark).columns
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(map(str, [-3, 0, 2, 5, 6, 7, 8, 9, 12, None])) and kept.columns == docs(spark).columns
+
+
+def test_grids_meet_all_near_points(spark):
+    """Every pair within two bits shares a cell of every set of grids, however fine."""
+    rng = np.random.default_rng(2)
+    for blocks in simhash.GRIDS:
+        masks = [m & (1 << 64) - 1 for m in simhash._cells(blocks)]
+        assert len(masks) == blocks * (blocks - 1) // 2
+        for _ in range(300):
+            a = int(rng.integers(0, 1 << 63))
+            b = a ^ (1 << int(rng.integers(0, 64))) ^ (1 << int(rng.integers(0, 64)))
+            p, q = ((x | x >> 1) & simhash._HALF | ((x & x >> 1) & simhash._HALF) << 1 for x in (a, b))
+            assert any(p & m == q & m for m in masks)
+
+
+def test_half_of_the_rows_in_one_group(spark):
+    """A hub: thousands of fingerprints one bit from one, and half of all rows under one id or none."""
+    rnd = np.random.default_rng(8)
+    hub = 0x0123456789ABCDEF
+    fps = {hub} | {hub ^ (1 << a) ^ (1 << b) for a in range(63) for b in range(a)}
+    links = simhash.links(spark.createDataFrame([(f,) for f in sorted(fps)], "fp long"), 8)
+    roots = {r["node"]: r["root"] for r in connected_components(links).collect()}
+    assert set(roots) == fps and set(roots.values()) == {min(fps)}
+    words = [f"word{k}" for k in range(500)]
+    rows = [(None if k % 2 else 7, " ".join(rnd.choice(words, 30)), "en", "a") for k in range(60)]
+    got = simhash.keep_first(docs(spark, rows)).collect()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in got) == sorted((str(i), t) for i, t, *_ in rows)
 
 
 def test_long_chain(spark):
