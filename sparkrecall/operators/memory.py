@@ -17,8 +17,16 @@ EXTRACTION_PROMPT = 'Today is {date}. List the facts about the user that the use
 #: From this score on the default rule takes a fact as a new wording of its best hit.
 UPDATE_SCORE = 1.8
 
-Extractor = Callable[[DataFrame], DataFrame]
-Decider = Callable[[DataFrame, DataFrame, DataFrame], DataFrame]
+USAGE = "request_id string, input_tokens long, output_tokens long, total_tokens long"
+#: A stage gives its rows, or its rows and their usage (request_id and the three counters).
+Staged = DataFrame | tuple[DataFrame, DataFrame]
+Extractor = Callable[[DataFrame], Staged]
+Decider = Callable[[DataFrame, DataFrame, DataFrame], Staged]
+
+
+def staged(found: Staged) -> tuple[DataFrame, DataFrame | None]:
+    """A stage's rows and their usage, if it has any."""
+    return found if isinstance(found, tuple) else (found, None)
 
 
 def extraction_inputs(requests: DataFrame, date: Column, prompt: str = EXTRACTION_PROMPT) -> DataFrame:
@@ -56,9 +64,50 @@ def batch_extractor(extract: Callable[[list[str]], list[list[str]]]) -> Extracto
     return apply
 
 
+#: A model call for a batch: two lists of texts in, a list of (response, usage as the provider's JSON) out.
+Model = Callable[[list[str], list[str]], list[tuple[str, str]]]
+
+
+def _answers(rows: DataFrame, model: Model, first: str, second: str) -> DataFrame:
+    """(request_id, user_id, response, usage): the model's answers; those of a batch that fails are empty."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            try:
+                got = model(batch[first].tolist(), batch[second].tolist())
+            except Exception:
+                got = [("", "")] * len(batch)
+            yield pd.DataFrame({"request_id": batch["request_id"], "user_id": batch["user_id"], "response": [g[0] for g in got], "usage": [g[1] for g in got]})
+
+    return rows.select("request_id", "user_id", first, second).mapInPandas(run, "request_id string, user_id string, response string, usage string")
+
+
+def model_extractor(model: Model, date: Column, prompt: str = EXTRACTION_PROMPT) -> Extractor:
+    """U1 by L1, a model and L3: facts, and usage of the calls whose answer is JSON. Answers are made once for facts and once
+    for usage; a paid model's should be written first (give a `model` that looks them up)."""
+
+    def apply(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+        said = _answers(extraction_inputs(requests, date, prompt), model, "system", "user")
+        facts = parse_facts(said).join(requests.select("request_id", "user_id"), "request_id").select("request_id", "user_id", "fact_pos", "fact")
+        return facts, usage_from_response(said.filter(F.try_parse_json("response").isNotNull()).select("request_id", "usage"))
+
+    return apply
+
+
+def model_decider(model: Model) -> Decider:
+    """U3 by L11, a model and L13: ordered actions, and usage. Only requests with both memories and facts are asked about."""
+
+    def apply(facts: DataFrame, hits: DataFrame, memories: DataFrame) -> tuple[DataFrame, DataFrame]:
+        asked = decision_inputs(first_seen(hits, memories), facts).join(facts.select("request_id", "user_id").distinct(), "request_id")
+        said = _answers(asked, model, "old_memories", "facts")
+        return parse_actions(said.select("request_id", "user_id", "response"), facts), usage_from_response(said.select("request_id", "usage"))
+
+    return apply
+
+
 def extract_facts(requests: DataFrame, extractor: Extractor = line_facts) -> DataFrame:
     """L2: (request_id, user_id, fact_pos, fact)."""
-    return extractor(requests)
+    return staged(extractor(requests))[0]
 
 
 def parse_facts(responses: DataFrame) -> DataFrame:
@@ -80,19 +129,27 @@ def sum_usage(usage: DataFrame, *keys: str) -> DataFrame:
     return usage.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("input_tokens", "output_tokens", "total_tokens")])
 
 
-def similar_memories(facts: DataFrame, memories: DataFrame, k: int = TOP_K) -> DataFrame:
-    """The memories that any fact of a request finds, once each, in the order in which they are first seen.
-
-    facts: request_id, user_id, fact_pos, vector. No score threshold here. `fact_pos`, `rank`, `score` are those of
-    the first sight.
-    """
+def fact_hits(facts: DataFrame, memories: DataFrame, k: int = TOP_K) -> DataFrame:
+    """L6 for facts (request_id, user_id, fact_pos, vector): each one's k best memories; no score threshold here."""
     keyed = facts.withColumn("_key", F.to_json(F.struct("request_id", "fact_pos")))
     hits = knn_blocks(keyed.select(F.col("_key").alias("request_id"), "user_id", "vector"), memories, k)
-    seen = hits.withColumnRenamed("request_id", "_key").join(keyed.select("_key", "request_id", "fact_pos"), "_key").filter(F.col("id") != "")
-    first = seen.groupBy("request_id", "user_id", "id").agg(F.min(F.struct("fact_pos", "rank", "score")).alias("f"))
+    return hits.withColumnRenamed("request_id", "_key").join(keyed.select("_key", "request_id", "fact_pos"), "_key").drop("_key")
+
+
+def first_seen(hits: DataFrame, memories: DataFrame) -> DataFrame:
+    """L8 from hits with request_id and fact_pos: each memory of a request once, where it is first seen, with its text."""
+    first = hits.filter(F.col("id") != "").groupBy("request_id", "user_id", "id").agg(F.min(F.struct("fact_pos", "rank", "score")).alias("f"))
     w = Window.partitionBy("request_id").orderBy("f.fact_pos", "f.rank")
     own = first.select("request_id", "user_id", "id", F.row_number().over(w).alias("pos"), "f.fact_pos", "f.rank", "f.score")
-    return own.join(memories.select("id", F.col("data").alias("text")), "id")
+    return own.join(memories.select("user_id", "id", F.col("data").alias("text")), ["user_id", "id"])
+
+
+def similar_memories(facts: DataFrame, memories: DataFrame, k: int = TOP_K) -> DataFrame:
+    """The memories that any fact of a request finds, once each, in the order in which they are first seen.
+
+    facts: request_id, user_id, fact_pos, vector. `fact_pos`, `rank`, `score` are those of the first sight.
+    """
+    return first_seen(fact_hits(facts, memories, k), memories)
 
 
 def route_requests(requests: DataFrame, similar: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -123,7 +180,7 @@ def rule_decider(update_score: float = UPDATE_SCORE) -> Decider:
     text; any other is an ADD."""
 
     def decide(facts: DataFrame, hits: DataFrame, memories: DataFrame) -> DataFrame:
-        best = hits.filter("rank = 1").join(memories.select("id", F.col("data").alias("old")), "id")
+        best = hits.filter("rank = 1").join(memories.select("user_id", "id", F.col("data").alias("old")), ["user_id", "id"])
         best = best.select("request_id", "fact_pos", F.col("id").alias("hit"), "score", "old")
         own = facts.withColumn("doc_id", T.memory_doc_id("user_id", "fact")).join(best, ["request_id", "fact_pos"], "left")
         close = F.coalesce(F.col("score") >= update_score, F.lit(False))
@@ -140,7 +197,7 @@ def rule_decider(update_score: float = UPDATE_SCORE) -> Decider:
 
 def decide(facts: DataFrame, hits: DataFrame, memories: DataFrame, decider: Decider | None = None) -> DataFrame:
     """Ordered actions. hits: L6 rows with request_id and fact_pos."""
-    return (decider or rule_decider())(facts, hits, memories)
+    return staged((decider or rule_decider())(facts, hits, memories))[0]
 
 
 def parse_actions(responses: DataFrame, facts: DataFrame) -> DataFrame:
@@ -214,7 +271,7 @@ def retrieve(queries: DataFrame, memories: DataFrame, k: int = TOP_K, threshold:
     query_text, vector; an empty query finds nothing."""
     asked = queries.filter((F.coalesce("query_text", F.lit("")) != "") & F.col("vector").isNotNull())
     hits = knn_blocks(asked, memories, k).filter(F.col("score") >= threshold)
-    own = hits.join(memories.select("id", F.col("data").alias("memory"), "created_at"), "id").filter(F.coalesce("memory", F.lit("")) != "")
+    own = hits.join(memories.select("user_id", "id", F.col("data").alias("memory"), "created_at"), ["user_id", "id"]).filter(F.coalesce("memory", F.lit("")) != "")
     return own.select("request_id", "user_id", "id", "memory", "score", F.col("score").alias("importance"), "created_at", "rank")
 
 

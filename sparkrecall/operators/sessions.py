@@ -65,9 +65,14 @@ def expire_sessions(rounds: DataFrame, as_of: Column, ttl: int = SESSION_TTL, or
     return own.filter((F.col("segment") == F.col("_last")) & alive).drop("segment", "_last", "_ts")
 
 
+def asked_only(rounds: DataFrame, asked: DataFrame) -> DataFrame:
+    """The rounds of the sessions that are asked for: a semi join on the keys alone, before anything else is done."""
+    return rounds.join(asked.select(*KEYS).distinct(), list(KEYS), "left_semi")
+
+
 def get_sessions(sessions: DataFrame, keys: DataFrame) -> DataFrame:
     """Keys with their rounds as an array in order; an absent session has an empty one."""
-    own = sessions.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("round_no", "round_id", "ts", "messages", "first_user_text"))).alias("rounds"))
+    own = asked_only(sessions, keys).groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("round_no", "round_id", "ts", "messages", "first_user_text"))).alias("rounds"))
     found = keys.join(own, list(KEYS), "left")
     return found.withColumn("rounds", F.coalesce("rounds", F.array().cast(own.schema["rounds"].dataType)))
 
@@ -75,10 +80,11 @@ def get_sessions(sessions: DataFrame, keys: DataFrame) -> DataFrame:
 def split_recent(rounds: DataFrame, requests: DataFrame, default: int = RECENT_FULL) -> DataFrame:
     """Each request's rounds with `recent`: whether it is one of the newest N.
 
-    requests: request_id, keys, recent_rounds_full and any more columns, e.g. the query.
+    requests: request_id, keys, recent_rounds_full and any more columns, e.g. the query. Rounds with a request_id (those
+    of R14) belong to that request alone.
     """
     mine = [c for c in requests.columns if c not in KEYS]
-    joined = requests.join(rounds, list(KEYS))
+    joined = requests.join(rounds, [*KEYS, "request_id"] if "request_id" in rounds.columns else list(KEYS))
     w = Window.partitionBy(*KEYS, "request_id").orderBy(F.col("round_no").desc())
     recent = F.row_number().over(w) <= F.coalesce(F.col("recent_rounds_full"), F.lit(default))
     return joined.withColumn("recent", recent).select(*KEYS, *mine, *[c for c in rounds.columns if c not in KEYS and c not in mine], "recent")

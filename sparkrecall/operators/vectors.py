@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,9 +11,9 @@ from pyspark.sql import functions as F
 
 from sparkrecall.schemas import DIMS, TOP_K
 
-#: Rows of a user's memories that one task multiplies with that user's queries; larger users are split.
-CHUNK_ROWS = 50_000
-#: Queries that are sent to all tasks at once by the global search; more are worked off in such blocks.
+#: Rows of a user's memories, and of the user's queries, that one task multiplies with one another; larger users are split.
+CHUNK_ROWS, QUERY_ROWS = 50_000, 5_000
+#: Queries that are sent to all tasks at once by the global search; more are dealt out in blocks.
 QUERY_BLOCK = 5_000
 
 HITS = "request_id string, id string, score double"
@@ -36,7 +35,7 @@ def _top(hits: DataFrame, k: int, keys: tuple[str, ...] = ("request_id",)) -> Da
 
 
 def knn(queries: DataFrame, memories: DataFrame, k: int = TOP_K) -> DataFrame:
-    """L6 in SQL: the user's k best memories for each query (request_id, user_id, vector); ties by id."""
+    """L6 stated plainly, all of a user's pairs at once: what tests hold `knn_blocks` against. Not for large users."""
     m = memories.select("user_id", "id", F.col("vector").alias("_m"))
     hits = queries.select("request_id", "user_id", F.col("vector").alias("_q")).join(m, "user_id").select("request_id", "user_id", "id", score(F.col("_q"), F.col("_m")).alias("score"))
     return _top(hits.filter("score is not null"), k)
@@ -49,78 +48,92 @@ def _unit(vectors: pd.Series) -> np.ndarray:
 
 
 def _best(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, m: np.ndarray, k: int) -> pd.DataFrame:
-    """The k best of a block for each query; all that tie with the last are kept, for the final cut by id."""
-    s = 1 + q @ m.T
+    """The k best of a block for each query; ids must ascend, as of equal scores (to twelve digits) the first ids stay."""
+    s = np.round(1 + q @ m.T, 12)
     s = np.where(np.isnan(s), -1.0, s)
     if s.shape[1] > k:
-        last = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
+        last = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k, None]
+        more, ties = s > last, s == last
+        kept = (more | (ties & (np.cumsum(ties, 1) <= k - more.sum(1, keepdims=True)))) & (s >= 0)
     else:
-        last = np.full(len(s), -0.5)
-    row, col = np.nonzero((s >= last[:, None] - 1e-12) & (s >= 0))
+        kept = s >= 0
+    row, col = np.nonzero(kept)
     return pd.DataFrame({"request_id": q_ids[row], "id": ids[col], "score": s[row, col]})
 
 
-def knn_blocks(queries: DataFrame, memories: DataFrame, k: int = TOP_K, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """L6 by matrix products: a user's memories are split into chunks of about chunk_rows, the user's queries go to each
-    chunk, each chunk keeps its k best, and a last top-k joins them. Only ids and vectors are shuffled."""
-    sizes = memories.groupBy("user_id").agg(F.ceil(F.count("*") / chunk_rows).cast("int").alias("chunks"))
-    named = memories.select(*[F.col(c).alias(c) for c in ("user_id", "id", "vector")])  # columns of their own, should both come from one table
-    m = named.join(sizes.join(queries.select("user_id"), "user_id", "left_semi"), "user_id").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
-    q = queries.select("request_id", "user_id", "vector").join(sizes, "user_id").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+def _blocks(rows: DataFrame, most: int, name: str) -> DataFrame:
+    """(user_id, name): into how many blocks of about `most` rows each user's rows are dealt."""
+    return rows.groupBy("user_id").agg(F.ceil(F.count("*") / most).cast("int").alias(name))
+
+
+def knn_blocks(queries: DataFrame, memories: DataFrame, k: int = TOP_K, chunk_rows: int = CHUNK_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
+    """L6 by matrix products: a user's memories are split into chunks of about chunk_rows and the user's queries into blocks
+    of about query_rows; every block meets every chunk, keeps its k best, and a last top-k joins them. Only users who ask
+    take part, and only ids and vectors are shuffled."""
+    users = _blocks(queries, query_rows, "blocks")
+    mine = memories.select(*[F.col(c).alias(c) for c in ("user_id", "id", "vector")])  # columns of their own, should both come from one table
+    mine = mine.join(users.select("user_id"), "user_id", "left_semi")
+    sizes = _blocks(mine, chunk_rows, "chunks").join(users, "user_id")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    of = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    m = mine.join(sizes, "user_id").select("user_id", of("id", "chunks").alias("chunk"), every("blocks").alias("block"), "id", "vector")
+    q = queries.select("request_id", "user_id", "vector").join(sizes, "user_id")
+    q = q.select("user_id", every("chunks").alias("chunk"), of("request_id", "blocks").alias("block"), "request_id", "vector")
 
     def block(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({"request_id": left["request_id"].iloc[:0], "id": right["id"].iloc[:0], "score": np.zeros(0)})
-        parts = [_best(left["request_id"].to_numpy()[i : i + 256], _unit(left["vector"][i : i + 256]), right["id"].to_numpy(), _unit(right["vector"]), k) for i in range(0, len(left), 256)]
-        return pd.concat(parts)
+        right = right.sort_values("id")
+        ids, unit = right["id"].to_numpy(), _unit(right["vector"])
+        return pd.concat([_best(left["request_id"].to_numpy()[i : i + 256], _unit(left["vector"][i : i + 256]), ids, unit, k) for i in range(0, len(left), 256)])
 
-    hits = q.select("user_id", "chunk", "request_id", "vector").groupBy("user_id", "chunk").cogroup(m.select(*[F.col(c).alias(c) for c in ("user_id", "chunk", "id", "vector")]).groupBy("user_id", "chunk")).applyInPandas(block, HITS)
-    top = _top(hits, k)
-    return top.join(queries.select("request_id", "user_id"), "request_id").select("request_id", "user_id", "id", "score", "rank")
+    keys = ("user_id", "chunk", "block")
+    hits = q.groupBy(*keys).cogroup(m.groupBy(*keys)).applyInPandas(block, HITS)
+    return _top(hits, k).join(queries.select("request_id", "user_id"), "request_id").select("request_id", "user_id", "id", "score", "rank")
 
 
 def knn_global(queries: DataFrame, memories: DataFrame, k: int = TOP_K, block: int = QUERY_BLOCK) -> DataFrame:
-    """No user filter. The stated queries are sent to all tasks, `block` at a time; memories are never shuffled."""
-    total = queries.count()
-    blocks = max(1, -(-total // block))
-    m, out = memories.select("id", "vector"), None
-    for b in range(blocks):
-        own = queries.filter(F.pmod(F.xxhash64("request_id"), F.lit(blocks)) == b).select("request_id", "vector").toPandas()
-        if own.empty:
-            continue
-        sent = queries.sparkSession.sparkContext.broadcast((own["request_id"].to_numpy(), _unit(own["vector"])))
-
-        def search(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            q_ids, q = sent.value
-            kept = None
-            for batch in batches:
-                if batch.empty:
-                    continue
-                right = _unit(batch["vector"])
-                new = pd.concat([_best(q_ids[i : i + 512], q[i : i + 512], batch["id"].to_numpy(), right, k) for i in range(0, len(q_ids), 512)])
-                kept = new if kept is None else pd.concat([kept, new])
-                kept = kept.sort_values(["request_id", "score", "id"], ascending=[True, False, True]).groupby("request_id").head(k)
-            if kept is not None:
-                yield kept
-
-        hits = m.mapInPandas(search, HITS)
-        out = hits if out is None else out.unionByName(hits)
-    if out is None:
+    """No user filter. Up to `block` queries are sent to all tasks, and memories are not shuffled; more queries are dealt
+    out in blocks that meet the memories in chunks, as those of one large user."""
+    few = queries.select("request_id", "vector").limit(block + 1).toPandas()
+    if len(few) > block:
+        all_ = F.lit("").alias("user_id")
+        return knn_blocks(queries.select("request_id", "vector", all_), memories.select("id", "vector", all_), k, query_rows=block).drop("user_id")
+    if few.empty:
         return queries.sparkSession.createDataFrame([], HITS + ", rank int")
-    return _top(out, k)
+    sent = queries.sparkSession.sparkContext.broadcast((few["request_id"].to_numpy(), _unit(few["vector"])))
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        q_ids, q = sent.value
+        kept = None
+        for batch in batches:
+            if batch.empty:
+                continue
+            batch = batch.sort_values("id")
+            right = _unit(batch["vector"])
+            new = pd.concat([_best(q_ids[i : i + 512], q[i : i + 512], batch["id"].to_numpy(), right, k) for i in range(0, len(q_ids), 512)])
+            kept = new if kept is None else pd.concat([kept, new])
+            kept = kept.sort_values(["request_id", "score", "id"], ascending=[True, False, True]).groupby("request_id").head(k)
+        if kept is not None:
+            yield kept
+
+    return _top(memories.select("id", "vector").mapInPandas(search, HITS), k)
 
 
 def hashed_bigrams(dims: int = DIMS, seed: int = 7) -> Callable[[pd.Series], pd.Series]:
-    """U2's default: counts of hashed character bigrams, unit length. Blank texts give no vector."""
+    """U2's default: signed counts of hashed bigrams of code points of the lower-cased text, unit length. Blank texts, and
+    those whose counts cancel out, give no vector.
+
+    The hash of code points a, b is (a * 2654435761 + b * 40503 + seed) mod 2^32; its upper 24 bits choose the place, its
+    lowest bit the sign.
+    """
 
     def embed(texts: pd.Series) -> pd.Series:
         out = []
         for t in texts:
-            low = (t or "").lower()
-            v = np.zeros(dims, np.float64)
-            for i in range(len(low) - 1):
-                h = zlib.crc32(low[i : i + 2].encode("utf-8", "surrogatepass"), seed)
-                v[h % dims] += 1 if h >> 31 & 1 else -1
+            c = np.frombuffer((t or "").lower().encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+            h = (c[:-1] * 2654435761 + c[1:] * 40503 + seed) & 0xFFFFFFFF
+            v = np.bincount((h >> 8) % dims, 1.0 - 2 * (h & 1), dims)
             size = np.sqrt((v * v).sum())
             out.append((v / size).astype(np.float32).tolist() if size else None)
         return pd.Series(out)

@@ -307,7 +307,7 @@ def l2_extract_facts(spark, d):
 @query
 def l3_parse_facts(spark, d):
     k = F.col("doc_id") % 4
-    fact = F.to_json(F.array(F.substring("text", 1, 40), F.col("source")))
+    fact = F.to_json(F.array(F.col("text"), F.col("source")))
     response = F.when(k == 0, "not json").when(k == 1, "{}").otherwise(F.concat(F.lit('{"facts": '), fact, F.lit("}")))
     docs = W.table(spark, d, "documents").select(F.col("doc_id").alias("request_id"), response.alias("response"))
     return M.parse_facts(docs)
@@ -324,19 +324,21 @@ def l4_sum_usage(spark, d):
 
 @query
 def l5_embed_texts(spark, d):
+    """The places of each text's vector that are not zero."""
     docs = W.table(spark, d, "conversations").select("conv_id", "turn", "text")
-    v = N.embed_texts(docs, N.hashed_bigrams(64))
-    return v.select("conv_id", "turn", F.size("vector").alias("dims"), F.round(N.dot(F.col("vector"), F.col("vector")), 4).alias("length"))
+    v = N.embed_texts(docs, N.hashed_bigrams(64)).select("conv_id", "turn", F.posexplode("vector").alias("place", "value"))
+    return v.filter("value <> 0").select("conv_id", "turn", "place", F.round(F.col("value").cast("double"), 5).alias("value"))
 
 
 @query
 def l6_knn(spark, d):
-    return N.knn_blocks(W.vector_queries(spark, d), W.memories(spark, d), 10, 200).select("request_id", "id", F.round("score", 6).alias("score"), "rank")
+    return N.knn_blocks(W.vector_queries(spark, d), W.memories(spark, d), 10).select("request_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
 @query
 def l6_knn_sql(spark, d):
-    return N.knn(W.vector_queries(spark, d), W.memories(spark, d), 10).select("request_id", "id", F.round("score", 6).alias("score"), "rank")
+    """The same search in small blocks on either side: every chunk of a user's memories meets every block of the queries."""
+    return N.knn_blocks(W.vector_queries(spark, d), W.memories(spark, d), 10, 20, 3).select("request_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
 @query
@@ -469,9 +471,9 @@ def l18_recall(spark, d):
 def l18_recall_embedded(spark, d):
     """The whole recall job with the default embedder; facts of the conversations are the memories."""
     asked = W.requests(spark, d)
-    facts = N.embed_texts(M.line_facts(asked), N.hashed_bigrams(64), "fact")
     at = as_of()
-    memories = facts.select(T.memory_doc_id("user_id", "fact").alias("id"), "user_id", F.col("fact").alias("data"), "vector").dropDuplicates(["id"])
+    facts = M.line_facts(asked).select(T.memory_doc_id("user_id", "fact").alias("id"), "user_id", "fact").groupBy("id", "user_id").agg(F.min("fact").alias("data"))
+    memories = N.embed_texts(facts, N.hashed_bigrams(64), "data")
     memories = memories.withColumn("hash", F.col("id")).withColumn("created_at", at).withColumn("updated_at", at)
     return jobs.recall(asked, _rounds(spark, d), memories, at, N.hashed_bigrams(64), threshold=RELEVANT).history.select("request_id", "pos", "role", "content")
 

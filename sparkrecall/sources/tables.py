@@ -2,13 +2,37 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkrecall import schemas
 from sparkrecall.operators.journal import attachment_manifest, extract_files, journal_entries
 
-USER_BUCKETS = 64
+#: Folders by hash of the user, and rows of one folder that a task writes; larger folders are written by several tasks.
+USER_BUCKETS, TASK_ROWS = 64, 1_000_000
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share (spark.checkpoint.dir); a local session without one has a
+    temporary folder."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("sparkrecall.scratch", None)
+    if not base:
+        if not (spark.sparkContext.master + "[").startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="sparkrecall-")
+        spark.conf.set("sparkrecall.scratch", base)
+    return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The table written to the shared folder and read back: what is used several times is made once, and a lost executor
+    costs no more than its own tasks."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def read_requests(spark: SparkSession, path: str) -> DataFrame:
@@ -57,9 +81,15 @@ def user_bucket(buckets: int = USER_BUCKETS):
 
 
 def write_memories(memories: DataFrame, path: str, dims: int = schemas.DIMS, buckets: int = USER_BUCKETS, mode: str = "error") -> DataFrame:
-    """S3: the memory table in folders by hash of the user; returns the rows with other dimensions, which are not written."""
+    """S3: the memory table in folders by hash of the user; returns the rows with other dimensions, which are not written.
+
+    A folder is dealt to a task for each TASK_ROWS of the table's mean folder, by a hash of the id, so that neither a large
+    table nor a hot user is one task's.
+    """
     good, rejected = check_dims(memories, dims)
-    good.withColumn("bucket", user_bucket(buckets)).repartition("bucket").write.mode(mode).partitionBy("bucket").parquet(path)
+    parts = max(1, -(-good.count() // (buckets * TASK_ROWS)))
+    salted = good.withColumn("bucket", user_bucket(buckets)).withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(parts)))
+    salted.repartition("bucket", "_part").drop("_part").write.mode(mode).partitionBy("bucket").parquet(path)
     return rejected
 
 
@@ -94,11 +124,18 @@ def read_journal(spark: SparkSession, path: str) -> DataFrame:
 def ingest_attachments(manifest: DataFrame, paths: list[str]) -> DataFrame:
     """The manifest with each local file's bytes; local_path is its place in the store, null for a missing file.
 
-    Local urls are paths, with or without file://.
+    Local urls are paths, with or without file://. Files are listed and narrowed to the manifest's paths before a byte of
+    them is read.
     """
-    files = manifest.sparkSession.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
-    files = files.select(F.regexp_replace("path", "^file:/+", "/").alias("_path"), "content", "length")
-    own = manifest.withColumn("_path", F.regexp_replace("file_url", "^file:/+", "/"))
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "/")
+    own = manifest.withColumn("_path", plain("file_url"))
+    read = manifest.sparkSession.read.format("binaryFile").option("recursiveFileLookup", "true")
+    listed = read.load(paths).select("path").join(own.select("_path").distinct(), plain("path") == F.col("_path"), "left_semi")
+    asked = [r["path"] for r in listed.toLocalIterator()]
+    if not asked:
+        none = {"content": F.lit(None).cast("binary"), "length": F.lit(None).cast("long"), "local_path": F.lit(None).cast("string")}
+        return manifest.withColumns(none)
+    files = read.load(asked).select(plain("path").alias("_path"), "content", "length")
     found = own.join(files, "_path", "left").drop("_path")
     return found.withColumn("local_path", F.when(F.col("length").isNotNull(), F.col("dest")))
 

@@ -13,7 +13,10 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from sparkrecall.operators.memory import apply_actions
 from sparkrecall.schemas import ROUNDS_KEPT, SESSION_TTL
 
-ROUND_STATE = "rounds array<struct<ts: double, round_id: string, first_user_text: string, messages: string>>, last_ts double"
+#: The setting of the state store, and the store that `stream_sessions` needs.
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+ROUND_STATE = "rounds array<struct<ts: bigint, round_id: string, first_user_text: string, messages: string>>, last_ts bigint"
 SESSION_ROWS = "user_id string, session_id string, round_no int, round_id string, ts timestamp, first_user_text string, messages string"
 
 
@@ -21,11 +24,11 @@ class SessionProcessor(StatefulProcessor):
     """Keeps a session's last n rounds. The whole array is one value, since expiry belongs to the session and every
     write renews it; gaps are judged by the events' own times, so a replay gives what the batch gives."""
 
-    def __init__(self, n: int = ROUNDS_KEPT, ttl: int = SESSION_TTL):
-        self.n, self.ttl = n, ttl
+    def __init__(self, n: int = ROUNDS_KEPT, ttl: int = SESSION_TTL, forget: bool = True):
+        self.n, self.ttl, self.forget = n, ttl, forget
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("session", ROUND_STATE, ttlDurationMs=self.ttl * 1000)
+        self.state = handle.getValueState("session", ROUND_STATE, ttlDurationMs=self.ttl * 1000 if self.forget else None)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         found = self.state.get() if self.state.exists() else None
@@ -33,8 +36,8 @@ class SessionProcessor(StatefulProcessor):
         last = found[1] if found else None
         new = pd.concat(list(rows)).sort_values(["ts", "round_id"])
         for r in new.itertuples():
-            ts = r.ts.timestamp()
-            if last is not None and ts - last >= self.ttl:
+            ts = r.ts.value // 1000  # microseconds, as Spark has them
+            if last is not None and ts - last >= self.ttl * 1_000_000:
                 rounds = []
             rounds = [*rounds, (ts, r.round_id, r.first_user_text, r.messages)][-self.n :]
             last = ts
@@ -42,7 +45,7 @@ class SessionProcessor(StatefulProcessor):
         yield pd.DataFrame(
             {
                 "user_id": key[0], "session_id": key[1], "round_no": range(1, len(rounds) + 1), "round_id": [r[1] for r in rounds],
-                "ts": [pd.Timestamp(r[0], unit="s") for r in rounds], "first_user_text": [r[2] for r in rounds], "messages": [r[3] for r in rounds],
+                "ts": pd.Series([r[0] for r in rounds], dtype="datetime64[us]"), "first_user_text": [r[2] for r in rounds], "messages": [r[3] for r in rounds],
             }
         )
 
@@ -50,13 +53,15 @@ class SessionProcessor(StatefulProcessor):
         pass
 
 
-def stream_sessions(rounds: DataFrame, n: int = ROUNDS_KEPT, ttl: int = SESSION_TTL) -> DataFrame:
+def stream_sessions(rounds: DataFrame, n: int = ROUNDS_KEPT, ttl: int = SESSION_TTL, forget: bool = True) -> DataFrame:
     """After each batch, the rounds of every session it touched.
 
-    rounds: user_id, session_id, ts, round_id, first_user_text, messages (as JSON). Needs the RocksDB state store.
+    rounds: user_id, session_id, ts, round_id, first_user_text, messages (as JSON). Needs the RocksDB state store. With
+    `forget` the store drops a session's state once it has been idle for ttl by the clock; a stream that watches the clock
+    never ends by itself, so a replay that should (trigger availableNow) turns this off. What comes out is the same.
     """
     own = rounds.select("user_id", "session_id", "ts", "round_id", "first_user_text", "messages")
-    return own.groupBy("user_id", "session_id").transformWithStateInPandas(SessionProcessor(n, ttl), SESSION_ROWS, "update", "ProcessingTime")
+    return own.groupBy("user_id", "session_id").transformWithStateInPandas(SessionProcessor(n, ttl, forget), SESSION_ROWS, "update", "ProcessingTime" if forget else "None")
 
 
 def stream_session_windows(rounds: DataFrame, ttl: int = SESSION_TTL, late: str = "1 hour") -> DataFrame:

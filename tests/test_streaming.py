@@ -22,7 +22,7 @@ def files(df, path, parts):
 
 def run(stream, name, mode, tmp_path):
     q = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", f"{tmp_path}/cp-{name}").trigger(availableNow=True).start()
-    q.awaitTermination(240)
+    assert q.awaitTermination(240)
     assert q.exception() is None
     return stream.sparkSession.table(name)
 
@@ -32,7 +32,7 @@ def test_sessions(spark, tmp_path):
     calls = sorted((T0 + dt.timedelta(seconds=rnd.randrange(900)), f"i{k:02d}", rnd.choice("ab")) for k in range(24))
     rows = spark.createDataFrame([("u", s, t, i, i, "[]") for t, i, s in calls], "user_id string, session_id string, ts timestamp, round_id string, first_user_text string, messages string")
     parts = [rows.filter((F.col("ts") >= T0 + dt.timedelta(seconds=a)) & (F.col("ts") < T0 + dt.timedelta(seconds=a + 450))) for a in (0, 450)]
-    out = run(streams.stream_sessions(files(rows, f"{tmp_path}/in", parts), cap, ttl), "w1", "update", tmp_path).collect()
+    out = run(streams.stream_sessions(files(rows, f"{tmp_path}/in", parts), cap, ttl, False), "w1", "update", tmp_path).collect()
     got = {}
     for r in out:  # the last state of each session: its largest time, and all rounds given with it
         got.setdefault(r["session_id"], []).append((r["ts"], r["round_id"]))
@@ -71,7 +71,7 @@ def test_memories(spark, tmp_path):
 
     stream = files(rows, f"{tmp_path}/in", [spark.createDataFrame(x, schema) for x in (one, two)])
     q = streams.stream_memories(stream, lambda: versions[max(versions)], write, f"{tmp_path}/cp")
-    q.awaitTermination(240)
+    assert q.awaitTermination(240)
     assert q.exception() is None and sorted(versions) == [-1, 0, 1]
     got = sorted((r["id"], r["data"]) for r in versions[1].collect())
     assert got == sorted((r["id"], r["data"]) for r in M.apply_actions(table, rows).collect()) and len(got) == 2
@@ -80,7 +80,7 @@ def test_memories(spark, tmp_path):
 def test_journal(spark, tmp_path):
     rows = spark.createDataFrame([("u", 1, "message", "x", T0), ("v", 1, "message", "y", T0)], "user_id string, pos int, type string, content string, timestamp timestamp")
     q = streams.stream_journal(files(rows, f"{tmp_path}/in", [rows]), f"{tmp_path}/out", f"{tmp_path}/cp")
-    q.awaitTermination(240)
+    assert q.awaitTermination(240)
     assert q.exception() is None
     assert sorted((r["user_id"], r["content"]) for r in spark.read.json(f"{tmp_path}/out").collect()) == [("u", "x"), ("v", "y")]
 
