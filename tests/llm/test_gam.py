@@ -66,3 +66,66 @@ def test_bound_on_training_rows(spark):
     rows = [(k, " ".join(["ab"] * rnd.randrange(1, 30)), "en", "a") for k in range(100)]
     model = gam.train(docs(spark, rows), labels(spark, [(k, k % 2, 0) for k in range(100)]), train_rows=10)
     assert sum(len(c) for c in model.cuts) <= 10 * len(gam.FEATURES)
+
+
+def plain_tree(g, h, leaves=3, least=2.0, l2=2.0):
+    """The same tree by trying every split of every leaf."""
+    parts, value = [list(range(len(g)))], lambda p: sum(g[i] for i in p) ** 2 / (sum(h[i] for i in p) + l2)
+    for _ in range(leaves - 1):
+        best = (1e-9, None)
+        for k, p in enumerate(parts):
+            for cut in range(1, len(p)):
+                a, b = p[:cut], p[cut:]
+                if min(sum(h[i] for i in a), sum(h[i] for i in b)) >= least:
+                    gain = value(a) + value(b) - value(p)
+                    if gain > best[0] + 1e-12:
+                        best = (gain, (k, a, b))
+        if best[1] is None:
+            break
+        k, a, b = best[1]
+        parts = [p for j, p in enumerate(parts) if j != k] + [a, b]
+    out = [0.0] * len(g)
+    for p in parts:
+        for i in p:
+            out[i] = -sum(g[j] for j in p) / (sum(h[j] for j in p) + l2)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_tree_against_all_splits(seed):
+    rng = np.random.default_rng(seed)
+    g, h = rng.normal(size=9) * 5, rng.random(9) * 4
+    assert np.allclose(gam.tree(g, h), plain_tree(g.tolist(), h.tolist()))
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_quadrants_against_all_cuts(seed):
+    rng = np.random.default_rng(seed)
+    g, h = rng.normal(size=(4, 5)), rng.random((4, 5)) + 0.1
+    best = -1.0
+    for i in range(1, 4):
+        for j in range(1, 5):
+            parts = [(slice(a, b), slice(c, d)) for a, b in ((0, i), (i, 4)) for c, d in ((0, j), (j, 5))]
+            best = max(best, sum(g[p].sum() ** 2 / (h[p].sum() + 2.0) for p in parts) - g.sum() ** 2 / (h.sum() + 2.0))
+    assert abs(gam.quadrants(g, h)[0] - best) < 1e-9
+
+
+def test_fit_against_plain_boosting(monkeypatch):
+    """Two rounds of cyclic boosting over the features, by loops over the rows."""
+    monkeypatch.setattr(gam, "ROUNDS", 2)
+    monkeypatch.setattr(gam, "PAIR_ROUNDS", 0)
+    rng = np.random.default_rng(2)
+    x, y = rng.integers(0, 5, (60, 3)).astype(float), rng.integers(0, 2, 60).astype(float)
+    model = gam.fit(x, y)
+    z, tables = [float(np.log(y.mean() / (1 - y.mean())))] * 60, [[0.0] * (len(c) + 1) for c in model.cuts]
+    for _ in range(2):
+        for k in range(3):
+            at = [sum(v >= c for c in model.cuts[k]) for v in x[:, k]]
+            p = [1 / (1 + np.exp(-v)) for v in z]
+            size = len(tables[k])
+            g = [sum(p[i] - y[i] for i in range(60) if at[i] == b) for b in range(size)]
+            h = [sum(p[i] * (1 - p[i]) for i in range(60) if at[i] == b) for b in range(size)]
+            step = [gam.RATE * s for s in plain_tree(g, h)]
+            tables[k] = [a + b for a, b in zip(tables[k], step)]
+            z = [v + step[a] for v, a in zip(z, at)]
+    assert all(np.allclose(a, b) for a, b in zip(model.tables, tables))

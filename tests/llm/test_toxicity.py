@@ -66,3 +66,72 @@ def test_awkward(spark, given):
     kept = toxicity.kept_documents(own, frame(spark, given))
     assert kept.columns == own.columns and kept.count() == sum(r["toxic"] < toxicity.REJECT for r in got)
     assert toxicity.score(none(spark), chain).count() == 0 and toxicity.kept_documents(none(spark), frame(spark, given)).count() == 0
+
+
+def test_fit_against_plain_descent():
+    """The weights are those at which the penalised likelihood has no slope left, as a plain descent finds them."""
+    rng = np.random.default_rng(4)
+    rows = [list(np.flatnonzero(rng.random(5) < 0.4)) for _ in range(300)]
+    dense = rng.random((300, 1))
+    x = np.zeros((300, 7))
+    for k, r in enumerate(rows):
+        x[k, r] = 1
+    x[:, 5], x[:, 6] = dense[:, 0], 1
+    y = (rng.random(300) < 1 / (1 + np.exp(-(2 * x[:, 0] - 3 * x[:, 2] + dense[:, 0])))).astype(float)
+    at, owner = toxicity._flat(rows)
+    w, v, b = toxicity.fit_logistic(at, owner, dense, y, 5, rounds=3000)
+    plain, penalty = np.zeros(7), np.array([1.0] * 6 + [0.0])
+    for _ in range(20000):
+        p = 1 / (1 + np.exp(-x @ plain))
+        plain -= 0.01 * (x.T @ (p - y) + penalty * plain)
+    assert np.abs(np.concatenate([w, v, [b]]) - plain).max() < 0.02
+
+
+def test_out_of_fold_answers_do_not_see_their_row():
+    """Turning the labels of one fold round leaves the first model's answers for that fold as they were."""
+    rng = np.random.default_rng(6)
+    rows = [list(np.flatnonzero(rng.random(6) < 0.5)) for _ in range(200)]
+    y = np.array([float(0 in r) for r in rows])
+    folds = np.arange(200) % 3
+    turned = np.where(folds == 0, 1 - y, y)
+    at, owner = toxicity._flat(rows)
+    guesses = []
+    for labels in (y, turned):
+        rest = folds != 0
+        place, picked = np.cumsum(rest) - 1, rest[owner]
+        w, v, b = toxicity.fit_logistic(at[picked], place[owner[picked]], np.zeros((int(rest.sum()), 0)), labels[rest], 6)
+        guesses.append(np.bincount(owner, w[at], 200)[folds == 0] + b)
+    assert np.allclose(*guesses)
+
+
+def test_query(spark, tmp_path):
+    """op7's rows are the chain's sums, added up in plain Python."""
+    import math
+    import zlib
+
+    rows, labels = corpus(400, 3)
+    docs(spark, rows + [(None, "no id, scoundrel", "en", "a"), (5000, None, "en", "a")]).write.parquet(f"{tmp_path}/documents.parquet")
+    frame(spark, labels).write.parquet(f"{tmp_path}/labels.parquet")
+    got = toxicity.op7_toxicity_chain(spark, str(tmp_path)).collect()
+    chain = toxicity.train(spark.read.parquet(f"{tmp_path}/documents.parquet"), spark.read.parquet(f"{tmp_path}/labels.parquet"))
+    texts = {i: t for i, t, *_ in rows} | {None: "no id, scoundrel", 5000: ""}
+    assert len(got) == len(texts)
+    for r in got:
+        found, before = [chain.vocabulary[w] for w in toxicity.words(texts[r["doc_id"]]) if w in chain.vocabulary], []
+        for k, name in enumerate(toxicity.CHAIN):
+            z = chain.bias[k] + sum(chain.weights[k][i] for i in found) + sum(p * w for p, w in zip(before, chain.before[k]))
+            before.append(1 / (1 + math.exp(-max(-35, min(35, z)))))
+            assert abs(r[name] - before[-1]) < 1e-6
+        assert r["rejected"] == int(before[1] >= toxicity.REJECT)
+        assert r["held_out"] == (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
+
+
+def test_one_labelled_id_on_half_of_the_rows(spark):
+    """What is learned from is bounded by the labels, whatever number of rows an id has."""
+    rows, labels = corpus(200, 4)
+    many = rows + [(1, f"text {k}", "en", "a") for k in range(300)]
+    known = toxicity.labelled(frame(spark, labels))
+    from sparkrecall.llm.common import texts
+
+    own = toxicity.one_text(texts(docs(spark, many)).join(known, "doc_id")).collect()
+    assert len(own) == 200 and {r["doc_id"]: r["text"] for r in own}[1] == min([rows[1][1], *(f"text {k}" for k in range(300))])
