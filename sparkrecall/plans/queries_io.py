@@ -75,7 +75,7 @@ def s6_ingest_attachments(spark, d):
     path = X.scratch(spark, "pages")
     p = W.table(spark, d, "pages").select("page_id", F.coalesce("html", F.lit("")).alias("html"))
     p.repartition(8, "page_id").write.partitionBy("page_id").option("lineSep", "\u0000").text(path)
-    stored = spark.read.option("wholetext", "true").text(path).select(F.col("page_id").cast("long").alias("page_id"), F.col("_metadata.file_path").alias("file_url"))
+    stored = spark.read.format("binaryFile").load(path).select(F.col("page_id").cast("long").alias("page_id"), F.col("path").alias("file_url"))
     url = F.when(F.col("page_id") % 3 == 0, F.concat("file_url", F.lit(".lost"))).otherwise(F.col("file_url"))
     manifest = stored.select("page_id", url.alias("file_url"), F.concat(F.lit("raw/"), F.col("page_id").cast("string")).alias("dest"))
     return X.ingest_attachments(manifest, [path]).select("page_id", "local_path", F.coalesce("length", F.lit(-1)).alias("length"), F.md5("content").alias("digest"))

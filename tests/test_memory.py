@@ -105,13 +105,22 @@ def test_searches_agree(spark, chunk):
     queries = spark.createDataFrame([(f"q{k}", f"u{k % 4}", v) for k, v in enumerate(vectors(12, seed=1))], "request_id string, user_id string, vector array<float>")
     table = memories(spark, own)
     plain = sorted((r["request_id"], r["rank"], r["id"], round(r["score"], 6)) for r in N.knn(queries, table, 5).collect())
-    blocks = sorted((r["request_id"], r["rank"], r["id"], round(r["score"], 6)) for r in N.knn_blocks(queries, table, 5, chunk).collect())
+    blocks = sorted((r["request_id"], r["rank"], r["id"], round(r["score"], 6)) for r in N.knn_blocks(queries, table, 5, chunk, 2).collect())
     assert plain == blocks and len(plain) == 45  # u3 has no memories
     whole = N.knn_global(queries, table, 5, block=5)
     cross = N.knn(queries.withColumn("user_id", F.lit("x")), table.withColumn("user_id", F.lit("x")), 5)
     assert sorted((r["request_id"], r["rank"], r["id"]) for r in whole.collect()) == sorted((r["request_id"], r["rank"], r["id"]) for r in cross.collect())
 
 
+def test_equal_vectors_stay_few(spark):
+    """Of many memories of one score the first ids stay, in every block."""
+    table = memories(spark, [(f"m{k:03d}", "u", "t", [1.0, 2.0]) for k in range(200)])
+    queries = spark.createDataFrame([("q", "u", [2.0, 4.0])], "request_id string, user_id string, vector array<float>")
+    for got in (N.knn_blocks(queries, table, 3, 50), N.knn_global(queries, table, 3)):
+        assert [(r["rank"], r["id"]) for r in got.orderBy("rank").collect()] == [(1, "m000"), (2, "m001"), (3, "m002")]
+    assert len(N._best(np.array(["q"]), N._unit(__import__("pandas").Series([[1.0, 2.0]])), np.array([f"m{k:03d}" for k in range(200)]), N._unit(__import__("pandas").Series([[1.0, 2.0]] * 200)), 3)) == 3
+
+
 def test_search_of_nothing(spark):
     queries = spark.createDataFrame([], "request_id string, user_id string, vector array<float>")
     table = memories(spark, [("m", "u", "t", [1.0])])
@@ -158,6 +167,52 @@ def test_store_then_recall(spark):
     assert rows[0]["role"] == "system" and "- I like tea" in rows[0]["content"] and [r["pos"] for r in rows] == list(range(5))
 
 
+def answers(old, facts):
+    """A model that adds all facts where it is asked, and says what that took."""
+    import json
+
+    return [(json.dumps({"memory": [{"text": f + "!", "event": "ADD"} for f in json.loads(x)]}), '{"prompt_tokens": 3, "completion_tokens": 2, "total_tokens": 5}') for x in facts]
+
+
+def extracted(system, user):
+    return [("not valid json" if "bad" in u else '{"facts": ["likes tea"]}', '{"prompt_tokens": 50, "completion_tokens": 20, "total_tokens": 70}') for u in user]
+
+
+def test_store_routes_and_counts(spark):
+    """Requests without any hit add their facts as they are; the others ask the decider; usage is summed by request."""
+    none, rounds = spark.createDataFrame([], schemas.MEMORIES), spark.createDataFrame([], schemas.ROUNDS)
+    now, embed = F.lit(T0 + dt.timedelta(minutes=1)), N.hashed_bigrams(64)
+    extractor, decider = M.model_extractor(extracted, now), M.model_decider(answers)
+    calls = request(spark, [("r1", "u1", "tea"), ("r2", "u2", "tea"), ("r3", "u3", "bad")])
+    first = jobs.store(calls, rounds, none, now, embed, extractor, decider)
+    assert sorted((r["user_id"], r["data"]) for r in first.memories.collect()) == [("u1", "likes tea"), ("u2", "likes tea")]
+    assert sorted(tuple(r) for r in first.usage.collect()) == [("r1", 50, 20, 70), ("r2", 50, 20, 70), ("r3", 0, 0, 0)]
+    again = jobs.store(request(spark, [("r4", "u1", "tea"), ("r5", "u9", "tea")]), rounds, first.memories, now, embed, extractor, decider)
+    assert sorted((r["user_id"], r["data"]) for r in again.memories.collect()) == [("u1", "likes tea"), ("u1", "likes tea!"), ("u2", "likes tea"), ("u9", "likes tea")]
+    assert sorted(tuple(r) for r in again.usage.collect()) == [("r4", 53, 22, 75), ("r5", 50, 20, 70)]
+
+
+def test_modules_can_be_swapped(spark):
+    none, rounds = spark.createDataFrame([], schemas.MEMORIES), spark.createDataFrame([], schemas.ROUNDS)
+    now, calls = F.lit(T0), request(spark, [("r1", "u1", "tea")])
+
+    def nothing(requests, memories, *_):
+        return jobs.Remembered(memories, memories, requests.select("request_id"))
+
+    done = jobs.store(calls, rounds, none, now, long_term=nothing, journal=lambda r: r.select("user_id"))
+    assert done.memories.count() == 0 and done.attachments.first()[0] == "u1" and done.usage.columns == ["request_id"]
+
+
+def test_recall_sees_what_was_stored_by_then(spark):
+    calls = request(spark, [(f"r{k}", "u1", f"line {k}") for k in range(4)])
+    from sparkrecall.operators import sessions as S
+
+    rounds = S.rounds_of_requests(calls).drop("request_id")
+    asked = request(spark, [("a", "u1", "x"), ("b", "u1", "x")]).withColumn("ts", F.when(F.col("request_id") == "a", F.lit(T0 + dt.timedelta(seconds=1))).otherwise(F.lit(T0 + dt.timedelta(days=3))))
+    out = jobs.recall(asked, rounds, spark.createDataFrame([], schemas.MEMORIES), None, N.hashed_bigrams(64), cap=1)
+    assert [(r["request_id"], r["role"], r["content"]) for r in out.history.orderBy("pos").collect()] == [("a", "user", "line 1"), ("a", "assistant", "noted")]
+
+
 def test_waves_see_each_other(spark, tmp_path):
     def keep(df, name):
         path = f"{tmp_path}/{name}-{len(list(tmp_path.iterdir()))}"

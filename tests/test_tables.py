@@ -3,6 +3,7 @@
 import datetime as dt
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from sparkrecall import schemas
@@ -80,6 +81,24 @@ def test_attachments(spark, tmp_path):
     assert got[urls[0]][0] == "raw/0" and bytes(got[urls[1]][1]) == b"png" and got[urls[2]] == (None, None)
 
 
+def test_no_shared_folder_on_a_cluster():
+    """Only a local session may fall back to a folder of its own."""
+
+    class Unset:
+        def get(self, *_):
+            return None
+
+    class Cluster:
+        class sparkContext:
+            master = "local-cluster[2,1,1024]"
+            getConf = staticmethod(Unset)
+
+        conf = Unset()
+
+    with pytest.raises(ValueError):
+        tables.scratch(Cluster, "x")
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], schemas.REQUESTS)
     saved = spark.createDataFrame([], "user_id string, file_url string, local_path string")
