@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkrecall.functions.text import ColumnOrName, col, non_blank, text_of
+from sparkrecall.functions.text import ColumnOrName, col
 from sparkrecall.schemas import ITEM_TYPES, ROLES
 
-#: \z, not $: the latter also matches before a final newline.
+#: The pattern and length of ids. \z, not $: the latter also matches before a final newline.
 ID_PATTERN = r"^[A-Za-z0-9][A-Za-z0-9_.:-]*\z"
 ID_CHARS = 128
 
@@ -58,11 +58,3 @@ def safe_user_dir(user_id: ColumnOrName) -> Column:
     # the depth after each part may never fall below the base
     depth = F.aggregate(parts, F.array(F.lit(0)), lambda acc, p: F.concat(acc, F.array(F.element_at(acc, -1) + F.when(p == "..", -1).otherwise(1))))
     return F.coalesce(~v.startswith("/") & ~v.contains("\0") & (F.array_min(depth) >= 0), F.lit(False))
-
-
-def non_blank_messages(messages: DataFrame, text: str = "text") -> DataFrame:
-    """V5: rows whose text is more than white space."""
-    return messages.filter(non_blank(text))
-
-
-__all__ = ["ID_PATTERN", "non_blank_messages", "request_reasons", "safe_user_dir", "text_of", "valid_id", "valid_scores", "valid_usage", "validate_requests"]

@@ -11,6 +11,7 @@ CONTEXTS = (
 MEMORIES = "id string, user_id string, data string, vector array<float>, hash string, created_at timestamp, updated_at timestamp"
 ACTIONS = "request_id string, pos int, user_id string, id string, text string, event string, old_memory string"
 
+#: Roles of messages and types of content items.
 ROLES = ("user", "assistant", "system", "tool")
 ITEM_TYPES = ("input_text", "input_image", "file")
 
