@@ -1,10 +1,11 @@
-"""The ten operators' queries, each over its whole table, and the SQL of those that SQL can state."""
+"""The operators' queries, each over its whole table, and the SQL of those that SQL can state."""
 
 from __future__ import annotations
 
-from . import mixing
+from . import merkle, mixing
 from .attribution import op1_offset_attribution
 from .gam import op3_gam_quality
+from .merkle import op13_merkle_manifest
 from .minhash import op5_one_permutation_minhash
 from .mixing import op10_hash_threshold_mix
 from .audio import op8_telephony_audio
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_telephony_audio": op8_telephony_audio,
     "op9_config_lp_packing": op9_config_lp_packing,
     "op10_hash_threshold_mix": op10_hash_threshold_mix,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
-ORACLE_SQL: dict[str, str] = {"op10_hash_threshold_mix": mixing.SQL}
+ORACLE_SQL: dict[str, str] = {"op10_hash_threshold_mix": mixing.SQL, "op13_merkle_manifest": merkle.SQL}
