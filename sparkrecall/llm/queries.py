@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from . import merkle, mixing
+from . import fim, merkle, mixing
 from .attribution import op1_offset_attribution
+from .fim import op11_chunked_fim
 from .gam import op3_gam_quality
 from .merkle import op13_merkle_manifest
 from .minhash import op5_one_permutation_minhash
@@ -26,7 +27,8 @@ QUERIES = {
     "op8_telephony_audio": op8_telephony_audio,
     "op9_config_lp_packing": op9_config_lp_packing,
     "op10_hash_threshold_mix": op10_hash_threshold_mix,
+    "op11_chunked_fim": op11_chunked_fim,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
-ORACLE_SQL: dict[str, str] = {"op10_hash_threshold_mix": mixing.SQL, "op13_merkle_manifest": merkle.SQL}
+ORACLE_SQL: dict[str, str] = {"op10_hash_threshold_mix": mixing.SQL, "op11_chunked_fim": fim.SQL, "op13_merkle_manifest": merkle.SQL}
