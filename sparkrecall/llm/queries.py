@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import fim, merkle, mixing
 from .attribution import op1_offset_attribution
+from .bpe import op12_segment_tree_bpe
 from .fim import op11_chunked_fim
 from .gam import op3_gam_quality
 from .merkle import op13_merkle_manifest
@@ -28,6 +29,7 @@ QUERIES = {
     "op9_config_lp_packing": op9_config_lp_packing,
     "op10_hash_threshold_mix": op10_hash_threshold_mix,
     "op11_chunked_fim": op11_chunked_fim,
+    "op12_segment_tree_bpe": op12_segment_tree_bpe,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
