@@ -86,11 +86,18 @@ def messages_to_query(messages: ColumnOrName) -> Column:
 
 
 def char_bigrams(text: ColumnOrName) -> Column:
-    """The distinct two-character substrings of the lower-cased text."""
+    """The distinct two-character substrings of the lower-cased text.
+
+    The characters are split once and bound as a lambda's variable; a character joins the one behind it, in one pass.
+    """
+
+    def pairs(chars: Column) -> Column:
+        n = F.size(chars) - 1
+        return F.array_distinct(F.zip_with(F.slice(chars, F.lit(1), n), F.slice(chars, F.lit(2), n), lambda a, b: F.concat(a, b)))
+
     low = F.lower(col(text))
-    n = F.char_length(low)
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substring(low, i, F.lit(2))))
-    return F.when(n >= 2, grams).otherwise(F.array().cast("array<string>"))
+    grams = F.get(F.transform(F.array(F.split(low, "")), pairs), F.lit(0))
+    return F.when(F.char_length(low) >= 2, grams).otherwise(F.array().cast("array<string>"))
 
 
 def overlap(a: ColumnOrName, b: ColumnOrName) -> Column:

@@ -116,3 +116,16 @@ def test_attachment_names(spark):
 def test_context_message(spark):
     got = spark.range(1).select(T.context_message(F.array(F.lit("a"), F.lit("b")))).first()[0]
     assert got == T.CONTEXT_HEADER + "- a\n- b"
+
+
+def test_bigrams_of_a_long_text_in_one_pass(spark):
+    """Every character once, also outside the basic plane; 200,000 characters take well under the time of a quadratic pass."""
+    import time
+
+    text = "aB\U0001f642é İ" * 33_000
+    df = spark.createDataFrame([(text,), ("\U0001f642\U0001f643",), ("x",), (None,)], "t string").select("t", T.char_bigrams("t").alias("g"))
+    began = time.time()
+    got = {r["t"]: sorted(r["g"]) for r in df.collect()}
+    assert time.time() - began < 20
+    low = text.lower()
+    assert got[text] == sorted({low[i : i + 2] for i in range(len(low) - 1)}) and got["\U0001f642\U0001f643"] == ["\U0001f642\U0001f643"] and got["x"] == [] == got[None]
