@@ -4,7 +4,7 @@ Every document has a hash of its id. Sizes are summed by source and hash bucket;
 source's running sum passes its budget is its boundary, and only the documents of that bucket are summed again,
 by the next bits of the hash, until one hash value is the boundary. A document is then taken if its hash lies
 below its source's threshold: one filter. What the boundary document leaves open is a smaller budget for the
-documents behind it that fit, found by the same search; four nested thresholds bring a source within a few words.
+documents behind it that fit, found by the same search; nested thresholds bring a source within a few words.
 
 Defined results: a null text has size 0; a null source is a source of its own, last; repeated rows of an id share
 a hash and are taken together; a row without a doc_id hashes its text (equal texts are then taken together); an empty
@@ -18,13 +18,13 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, documents, keep
+from .common import WORD, documents, forget, keep
 
 WEIGHTS = (3, 1, 2)
 #: Words of the mix as a share of all words, and the most that a source or document gives, in times its size.
 SHARE, MOST = 1.5, 2
-#: A hash has 60 bits; the levels of the search tell 12, 36 and all of them apart.
-SHIFTS = (48, 24, 0)
+#: A hash has 60 bits; each level of the search tells 15 more apart, so that a source has 32,768 buckets at most at any level.
+SHIFTS = (45, 30, 15, 0)
 END = 1 << 60
 ROUNDS = 4
 
@@ -61,15 +61,22 @@ def targets(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
 def _cut(rows: DataFrame, budgets: DataFrame) -> DataFrame:
     """source, cut, used: the hashes below `cut` are the longest run whose sizes stay within the budget.
 
-    rows: source, size, h; budgets: source, budget. Sources compare by <=>, as null is one.
+    rows: source, size, h; budgets: source, budget. Sources compare by <=>, as null is one. All rows are summed once, by the
+    upper bits of their hashes; below that only the rows of each source's boundary bucket are, a table of their own, filtered
+    to the boundary reached so far.
     """
+    level = rows
     found = budgets.select("source", "budget", F.lit(0).cast("long").alias("used"), F.lit(0).cast("long").alias("prefix"), F.lit(False).alias("whole"))
     was = 60
     for shift in SHIFTS:
-        # documents of the boundary reached so far, by the next bits of the hash
-        level = rows.select("source", "size", F.shiftright("h", was).alias("prefix"), F.shiftright("h", shift).alias("bucket"))
-        sums = level.groupBy("source", "prefix", "bucket").agg(F.sum("size").alias("size"))
-        known = found.alias("f").join(sums.alias("s"), F.col("f.source").eqNullSafe(F.col("s.source")) & (F.col("f.prefix") == F.col("s.prefix")) & ~F.col("f.whole"))
+        if was < 60:
+            edge = found.filter("not whole").select(F.col("source").alias("s"), "prefix")
+            inside = rows.source.eqNullSafe(edge.s) & (F.shiftright("h", was) == F.col("prefix"))
+            level = rows.join(edge, inside).select("source", "size", "h")
+            if was == SHIFTS[0]:
+                rows = level = keep(level, "mix-boundary")
+        sums = level.groupBy("source", F.shiftright("h", shift).alias("bucket")).agg(F.sum("size").alias("size"))
+        known = found.alias("f").join(sums.alias("s"), F.col("f.source").eqNullSafe(F.col("s.source")) & ~F.col("f.whole"))
         run = F.sum("s.size").over(Window.partitionBy("f.source").orderBy("s.bucket"))
         known = known.select(F.col("f.source").alias("source"), "f.budget", "f.used", "s.bucket", "s.size", run.alias("run"))
         over = F.col("used") + F.col("run") > F.col("budget")
@@ -86,6 +93,7 @@ def _cut(rows: DataFrame, budgets: DataFrame) -> DataFrame:
         )
         found = keep(found, "mix-level")
         was = shift
+    forget(rows)
     return found.select("source", F.when(F.col("whole"), F.lit(END)).otherwise(F.col("prefix")).alias("cut"), "used")
 
 

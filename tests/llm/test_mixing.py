@@ -70,3 +70,34 @@ def test_documents_come_as_often_as_taken(spark):
 
 def test_empty(spark):
     assert mixing.mix(none(spark)).count() == 0 and mixing.mixed_documents(none(spark)).count() == 0
+
+
+def test_only_the_boundary_is_summed_again(spark, monkeypatch):
+    """Below the first level the sums read a table of the boundary buckets' rows alone."""
+    from pyspark.sql import functions as F
+
+    rnd, written = random.Random(9), []
+    rows = spark.createDataFrame([(s, rnd.randrange(1, 50), rnd.randrange(1 << 60)) for s in ("a", "b", None) for _ in range(4000)], "source string, size long, h long")
+    whole = mixing.keep(rows, "rows")
+    keep = mixing.keep
+
+    def noted(df, name, **how):
+        out = keep(df, name, **how)
+        written.append((name, out.count(), {f.rsplit("/", 2)[1] for f in df.inputFiles()}))
+        return out
+
+    monkeypatch.setattr(mixing, "keep", noted)
+    budgets = whole.groupBy("source").agg((F.sum("size") * 0.3).alias("budget"))
+    cut = {r["source"]: (r["cut"], r["used"]) for r in mixing._cut(whole, budgets).collect()}
+    for s in ("a", "b", None):
+        run, budget = 0, sum(r["size"] for r in rows.collect() if r["source"] == s) * 0.3
+        for h, size in sorted((r["h"], r["size"]) for r in rows.collect() if r["source"] == s):
+            if run + size > budget:
+                break
+            run += size
+        assert cut[s] == (h, run)
+    own = {f.rsplit("/", 2)[1] for f in whole.inputFiles()}
+    boundary = [n for name, n, _ in written if name == "mix-boundary"]
+    assert len(boundary) == 1 and boundary[0] < 30  # of 12,000 rows, those in the three boundary buckets
+    levels = [read for name, _, read in written if name == "mix-level"]
+    assert len(levels) == len(mixing.SHIFTS) and own & levels[0] and not any(own & read for read in levels[2:])
