@@ -1,0 +1,187 @@
+"""Stored tables by bucket: what a write touches, replays, restarts, logs of rounds, and stores in exact order."""
+
+import datetime as dt
+import os
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from sparkrecall import schemas
+from sparkrecall.operators import memory as M
+from sparkrecall.operators import sessions as S
+from sparkrecall.operators import vectors as N
+from sparkrecall.plans import durable as D
+from sparkrecall.plans import jobs
+from sparkrecall.sources.buckets import BucketTable
+from tests.test_memory import T0, request
+
+
+def files(path):
+    return {os.path.join(d, f): os.stat(os.path.join(d, f)).st_mtime_ns for d, _, names in os.walk(path) for f in names if f.startswith("part-")}
+
+
+def memories(spark, users, each=3):
+    rows = [(f"{u}-{k}", u, f"{u} says {k}", [1.0, float(k)], f"h{k}", T0, T0) for u in users for k in range(each)]
+    return spark.createDataFrame(rows, schemas.MEMORIES)
+
+
+def action(user, n, event, id_=None, text=None):
+    return (f"r{n}", 0, user, id_, text, event, None, [0.5, 1.0], T0 + dt.timedelta(seconds=n))
+
+
+
+
+def plain(df):
+    return sorted(tuple(r[c] for c in ("id", "user_id", "data", "hash", "created_at", "updated_at")) for r in df.collect())
+
+
+def test_merge_touches_its_buckets_alone(spark, tmp_path):
+    users = [f"u{k}" for k in range(30)]
+    table = D.memory_table(spark, f"{tmp_path}/m", 16)
+    table.rewrite(memories(spark, users), list(range(16)), "first")
+    before = files(tmp_path)
+    acts = spark.createDataFrame([action("u1", 1, "UPDATE", "u1-0", "new"), action("u1", 2, "DELETE", "u1-1"), action("u2", 3, "ADD", None, "more"), action("u2", 4, "UPDATE", "none", "x")], D.ACTED)
+    touched = D.merge_actions(table, acts, "second")
+    assert touched == table.buckets_of(spark.createDataFrame([("u1",), ("u2",)], "user_id string")) and len(touched) <= 2
+    assert plain(table.read()) == plain(M.apply_actions(memories(spark, users), acts))
+    after = files(tmp_path)
+    assert all(after[f] == t for f, t in before.items())
+    assert {int(f.split("bucket=")[1].split("/")[0]) for f in set(after) - set(before) if "bucket=" in f} <= set(touched)
+    assert D.merge_actions(table, acts, "second") == [] and table.version() == 2 and files(tmp_path) == after
+    assert plain(table.read(version=1)) == plain(memories(spark, users))
+
+
+def test_a_bucket_may_lose_all_its_rows_and_gain_new_ones(spark, tmp_path):
+    table = D.memory_table(spark, f"{tmp_path}/m", 4)
+    assert table.read().count() == 0 and table.version() == 0
+    table.rewrite(memories(spark, ["a", "b"], 1), list(range(4)), "first")
+    D.merge_actions(table, spark.createDataFrame([action("a", 1, "DELETE", "a-0"), action("b", 2, "DELETE", "b-0")], D.ACTED), "gone")
+    assert table.read().count() == 0
+    D.merge_actions(table, spark.createDataFrame([action("a", 3, "ADD", None, "again")], D.ACTED), "back")
+    assert [r["data"] for r in table.read().collect()] == ["again"]
+    D.merge_actions(table, spark.createDataFrame([], D.ACTED), "nothing")
+    assert table.done("nothing") and table.read().count() == 1
+
+
+def test_rows_without_a_key_and_more_columns(spark, tmp_path):
+    table = BucketTable(spark, f"{tmp_path}/t", "k string, v int", "k", 3, task_rows=2)
+    rows = spark.createDataFrame([(None, 1, "x"), ("a", 2, "y"), ("a", 2, "y"), ("", 3, "z")] + [("hot", i, "w") for i in range(20)], "k string, v int, bucket string")
+    table.append(rows, "one")
+    table.append(rows.filter("k = 'a'"), "two")
+    assert table.append(rows, "one") is False
+    assert sorted(("-" if r["k"] is None else r["k"], r["v"]) for r in table.read().collect()) == sorted([("-", 1), ("", 3)] + [("a", 2)] * 4 + [("hot", i) for i in range(20)])
+    assert max(r["version"] for r in table.read(marked=True).collect()) == 2
+    table.rewrite(table.read(), [0, 1, 2], "three")
+    assert len([f for f in files(tmp_path) if "folder=3-" in f]) >= 10  # two rows a file: a hot key is dealt out
+
+
+def test_a_write_that_failed_is_never_read(spark, tmp_path):
+    table = BucketTable(spark, f"{tmp_path}/t", "k string, v int", "k", 3)
+    table.append(spark.createDataFrame([("a", 1)], "k string, v int"), "one")
+    with pytest.raises(Exception, match="two"):
+        table.append(spark.createDataFrame([("a", 2)], "k string, v int").withColumn("v", F.when(F.raise_error(F.lit("two")).isNull(), 1).cast("int")), "two")
+    assert [r["v"] for r in table.read().collect()] == [1] and not table.done("two")
+    assert table.append(spark.createDataFrame([("a", 2)], "k string, v int"), "two") and table.read().count() == 2
+
+
+def test_stream_is_killed_and_restarted(spark, tmp_path):
+    """The second batch is merged, then the stream dies before Spark notes it; the restart replays it without effect."""
+    source, check = f"{tmp_path}/in", f"{tmp_path}/check"
+    table = D.memory_table(spark, f"{tmp_path}/m", 4)
+    table.rewrite(memories(spark, ["a", "b"]), list(range(4)), "first")
+    lots = [[action("a", 1, "UPDATE", "a-0", "one")], [action("a", 2, "DELETE", "a-1"), action("b", 3, "ADD", None, "two")], [action("b", 4, "UPDATE", "b-0", "three")]]
+    schema, every = spark.createDataFrame([], D.ACTED).schema, []
+
+    def run(table):
+        return D.stream_memory_table(spark.readStream.schema(schema).parquet(source), table, check)
+
+    for n, lot in enumerate(lots):
+        spark.createDataFrame(lot, D.ACTED).coalesce(1).write.mode("append").parquet(source)
+        every += lot
+        if n == 1:
+            whole = BucketTable._write
+
+            def dies(self, *how):
+                whole(self, *how)
+                raise RuntimeError("killed")
+
+            BucketTable._write = dies
+            try:
+                with pytest.raises(Exception, match="killed"):
+                    run(table).awaitTermination()
+            finally:
+                BucketTable._write = whole
+        again = D.memory_table(spark, f"{tmp_path}/m", 4)  # nothing is remembered but what is stored
+        run(again).awaitTermination()
+    assert plain(again.read()) == plain(M.apply_actions(memories(spark, ["a", "b"]), spark.createDataFrame(every, D.ACTED)))
+    assert again.version() == 4
+
+
+def test_log_of_rounds(spark, tmp_path):
+    log = D.session_log(spark, f"{tmp_path}/log", 8)
+    one = request(spark, [(f"r{k}", f"u{k % 5}", f"line {k}") for k in range(20)])
+    two = request(spark, [(f"s{k}", f"u{k % 3}", f"later {k}") for k in range(9)])
+    now = F.lit(T0 + dt.timedelta(hours=1))
+    D.log_requests(log, one, "one")
+    before = files(tmp_path)
+    D.log_requests(log, two, "two")
+    assert not D.log_requests(log, two, "two")
+    new = {int(f.split("bucket=")[1].split("/")[0]) for f in set(files(tmp_path)) - set(before) if "bucket=" in f}
+    assert new == set(log.buckets_of(two)) and all(files(tmp_path)[f] == t for f, t in before.items())
+    want = S.append_rounds(S.rounds_of_requests(one).drop("request_id"), S.rounds_of_requests(two).drop("request_id"))
+    want = sorted((r["user_id"], r["session_id"], r["round_no"], r["round_id"]) for r in S.keep_last_rounds(S.expire_sessions(want, now), 5).collect())
+
+    def own(df):
+        return sorted((r["user_id"], r["session_id"], r["round_no"], r["round_id"]) for r in df.collect())
+
+    assert own(D.logged_sessions(log, now, cap=5)) == want
+    some = spark.createDataFrame([("u1",), ("u4",), ("nobody",)], "user_id string")
+    assert own(D.logged_sessions(log, now, some, cap=5)) == [r for r in want if r[0] in ("u1", "u4")]
+    assert D.compact_sessions(log, now, "compact", cap=5) == sorted(new & set(log.buckets_of(one)))
+    compacted = own(D.logged_sessions(log, now, cap=5))
+    assert [r[:2] + r[3:] for r in compacted] == [r[:2] + r[3:] for r in want]
+    later = F.lit(T0 + dt.timedelta(days=9))
+    assert D.logged_sessions(log, later).count() == 0
+
+
+def call_rows(rnd, users, n):
+    words = ["tea", "green", "cats", "like", "hate", "dogs", "blue", "old", "rain"]
+    return [(f"r{k:03}", rnd.choice(users), "\n".join(" ".join(rnd.choice(words) for _ in range(rnd.randrange(2, 5))) for _ in range(rnd.randrange(0, 3)))) for k in range(n)]
+
+
+@pytest.mark.parametrize("calls,spare", [(500, 40), (3, 1)])
+def test_exact_store_is_that_in_waves(spark, tmp_path, calls, spare):
+    """Also with few calls a round and hardly any hits to spare, so that rounds end early."""
+    def keep(df, name):
+        path = f"{tmp_path}/{name}-{len(list(tmp_path.iterdir()))}"
+        df.write.parquet(path)
+        return spark.read.parquet(path)
+
+    rows = call_rows(random.Random(calls), ["u1", "u1", "u2", "u3"], 14)
+    embed = N.hashed_bigrams(32)
+    stored = spark.createDataFrame([(f"m{k}", f"u{k % 4}", t) for k, t in enumerate(["like green tea", "cats", "hate old dogs and rain too", "blue rain"] * 2)], "id string, user_id string, data string")
+    stored = N.embed_texts(stored, embed, "data").select("id", "user_id", "data", "vector", F.col("id").alias("hash"), F.lit(T0).alias("created_at"), F.lit(T0).alias("updated_at"))
+    stored = keep(stored, "stored")
+    requests, none, now = keep(request(spark, rows), "requests"), spark.createDataFrame([], schemas.ROUNDS), F.lit(T0 + dt.timedelta(minutes=1))
+    waves = jobs.store_in_waves(requests, none, stored, now, keep, embedder=embed, k=3)
+    got = D.remember_exact(requests, stored, embed, k=3, calls=calls, spare=spare)
+    assert plain(got.memories) == plain(waves.memories)
+    assert got.usage.count() == len(rows)
+
+
+def test_exact_store_of_nothing(spark):
+    none = spark.createDataFrame([], schemas.MEMORIES)
+    got = D.remember_exact(request(spark, [("r1", "u", "  ")]), none, N.hashed_bigrams(16))
+    assert got.memories.count() == 0 and got.actions.count() == 0 and got.usage.count() == 1
+
+
+def test_exact_store_with_a_decider_of_ones_own(spark):
+    """A call deletes what the call before it added."""
+    def decide(user, facts, hits):
+        return [("DELETE", h[0][0], None, None) for h in hits if h]
+
+    rows = request(spark, [("r1", "u", "one thing"), ("r2", "u", "one thing"), ("r3", "u", "one thing")])
+    got = D.remember_exact(rows, spark.createDataFrame([], schemas.MEMORIES), N.hashed_bigrams(16), decider=decide)
+    assert [r["data"] for r in got.memories.collect()] == ["one thing"]
+    assert [r["event"] for r in got.actions.orderBy("request_id").collect()] == ["ADD", "DELETE", "ADD"]
