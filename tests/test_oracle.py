@@ -4,7 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from sparkrecall.plans import oracle, oracle_io, queries_io  # noqa: F401  queries_io adds to the queries
+from sparkrecall.plans import oracle, oracle_durable, oracle_io, queries_durable, queries_io  # noqa: F401  the last two add to the queries
 from sparkrecall.plans.queries import QUERIES
 from tests.conftest import SMALL
 
@@ -33,7 +33,7 @@ def rows(df):
     return sorted(repr(tuple(map(plain, r))) for r in df[sorted(df.columns)].itertuples(index=False))
 
 
-SQL = oracle.SQL | oracle_io.SQL
+SQL = oracle.SQL | oracle_io.SQL | oracle_durable.SQL
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
