@@ -44,16 +44,27 @@ def line_facts(requests: DataFrame) -> DataFrame:
     return own.select("request_id", "user_id", F.posexplode("facts").alias("fact_pos", "fact"))
 
 
+def one_by_one(call: Callable[..., list], *columns: list) -> list:
+    """A model's results for a batch; where the batch fails, each row's alone, None for those that fail by themselves."""
+    try:
+        return list(call(*columns))
+    except Exception:
+        out = []
+        for row in zip(*columns):
+            try:
+                out += list(call(*[[v] for v in row]))
+            except Exception:
+                out.append(None)
+        return out
+
+
 def batch_extractor(extract: Callable[[list[str]], list[list[str]]]) -> Extractor:
-    """U1 for a model: a function of a batch of texts that gives each one's facts; a batch that fails has none."""
+    """U1 for a model: a function of a batch of texts that gives each one's facts; a text that fails, also by itself, has none."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            try:
-                facts = extract(batch["text"].tolist())
-            except Exception:
-                facts = [[] for _ in range(len(batch))]
-            rows = [(r, u, k, f) for r, u, own in zip(batch["request_id"], batch["user_id"], facts) for k, f in enumerate(own)]
+            facts = one_by_one(extract, batch["text"].tolist())
+            rows = [(r, u, k, f) for r, u, own in zip(batch["request_id"], batch["user_id"], facts) for k, f in enumerate(own or [])]
             yield pd.DataFrame(rows, columns=["request_id", "user_id", "fact_pos", "fact"])
 
     def apply(requests: DataFrame) -> DataFrame:
@@ -66,40 +77,42 @@ def batch_extractor(extract: Callable[[list[str]], list[list[str]]]) -> Extracto
 
 #: A model call for a batch: two lists of texts in, a list of (response, usage as the provider's JSON) out.
 Model = Callable[[list[str], list[str]], list[tuple[str, str]]]
+#: How a model is asked: rows (request_id, user_id and two texts) in, (request_id, user_id, response, usage) out, made once.
+Answers = Callable[[DataFrame, Model, str, str], DataFrame]
 
 
 def _answers(rows: DataFrame, model: Model, first: str, second: str) -> DataFrame:
-    """(request_id, user_id, response, usage): the model's answers; those of a batch that fails are empty."""
+    """The model's answers, made once and written, as they are used several times; a row that fails has an empty one.
+    `sources.models.ModelCache` is another way, which keeps answers over batches."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            try:
-                got = model(batch[first].tolist(), batch[second].tolist())
-            except Exception:
-                got = [("", "")] * len(batch)
+            got = [g or ("", "") for g in one_by_one(model, batch[first].tolist(), batch[second].tolist())]
             yield pd.DataFrame({"request_id": batch["request_id"], "user_id": batch["user_id"], "response": [g[0] for g in got], "usage": [g[1] for g in got]})
 
-    return rows.select("request_id", "user_id", first, second).mapInPandas(run, "request_id string, user_id string, response string, usage string")
+    from sparkrecall.sources.tables import written
+
+    said = rows.select("request_id", "user_id", first, second).mapInPandas(run, "request_id string, user_id string, response string, usage string")
+    return written(said, "answers")
 
 
-def model_extractor(model: Model, date: Column, prompt: str = EXTRACTION_PROMPT) -> Extractor:
-    """U1 by L1, a model and L3: facts, and usage of the calls whose answer is JSON. Answers are made once for facts and once
-    for usage; a paid model's should be written first (give a `model` that looks them up)."""
+def model_extractor(model: Model, date: Column, prompt: str = EXTRACTION_PROMPT, answers: Answers = _answers) -> Extractor:
+    """U1 by L1, a model and L3: facts, and usage of the calls whose answer is JSON. Each request is asked about once."""
 
     def apply(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
-        said = _answers(extraction_inputs(requests, date, prompt), model, "system", "user")
+        said = answers(extraction_inputs(requests, date, prompt), model, "system", "user")
         facts = parse_facts(said).join(requests.select("request_id", "user_id"), "request_id").select("request_id", "user_id", "fact_pos", "fact")
         return facts, usage_from_response(said.filter(F.try_parse_json("response").isNotNull()).select("request_id", "usage"))
 
     return apply
 
 
-def model_decider(model: Model) -> Decider:
+def model_decider(model: Model, answers: Answers = _answers) -> Decider:
     """U3 by L11, a model and L13: ordered actions, and usage. Only requests with both memories and facts are asked about."""
 
     def apply(facts: DataFrame, hits: DataFrame, memories: DataFrame) -> tuple[DataFrame, DataFrame]:
         asked = decision_inputs(first_seen(hits, memories), facts).join(facts.select("request_id", "user_id").distinct(), "request_id")
-        said = _answers(asked, model, "old_memories", "facts")
+        said = answers(asked, model, "old_memories", "facts")
         return parse_actions(said.select("request_id", "user_id", "response"), facts), usage_from_response(said.select("request_id", "usage"))
 
     return apply
