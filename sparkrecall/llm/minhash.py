@@ -21,15 +21,18 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import documents, keep, texts
+from .merkle import placed
 
 SHINGLE, BINS, LOW_BITS, TRIES = 5, 256, 8, 24
 _HALF = 1 << (LOW_BITS - 1)
 #: A hash keeps 62 bits: the bin's number above, HASH_BITS below.
 HASH_BITS = 54
-#: 2^RUN_BITS consecutive ids find their next document together, RUNS_A_TASK such runs in a task.
-RUN_BITS, RUNS_A_TASK = 8, 32
-#: Rows without an id are dealt into 2^NULL_BITS runs by a hash of their texts.
-NULL_BITS = 12
+#: 2^RUN_BITS consecutive ids find their next document together.
+RUN_BITS = 8
+#: A run of more rows is parted by id and 2^SUB_BITS ways by a hash of the texts, as are the rows without an id, which are one run.
+HOT_ROWS, SUB_BITS, NAMELESS = 4096, 12, -(1 << 62)
+#: Bytes of text for each task.
+TASK_BYTES = 32_000_000
 #: Runs whose first ids are broadcast (40 bytes each).
 SENT_RUNS = 200_000
 
@@ -97,61 +100,74 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return made.select("doc_id", F.col("bins").isNotNull().alias("words"), packed("bins").alias("fingerprint"))
 
 
-def previous(keys: DataFrame, levels: int = 2, bits: int = 18) -> DataFrame:
-    """(k, before): before each key (distinct longs k) the next smaller one, before the least the greatest.
-
-    Keys meet those with equal upper bits, so that a window has at most 2^bits rows; the first of such a group follows
-    the last of the group before, found in the same way from the upper bits alone.
-    """
-    if not levels:
-        return keys.select("k", F.coalesce(F.lag("k").over(Window.orderBy("k")), F.max("k").over(Window.partitionBy())).alias("before"))
-    own = keys.select("k", F.shiftright("k", bits).alias("p"))
-    tops = own.groupBy("p").agg(F.max("k").alias("last"))
-    above = previous(tops.select(F.col("p").alias("k")), levels - 1, bits).select(F.col("k").alias("p"), F.col("before").alias("q"))
-    ends = above.join(tops.select(F.col("p").alias("q"), "last"), "q").select("p", "last")
-    lag = F.lag("k").over(Window.partitionBy("p").orderBy("k"))
-    return own.select("k", "p", lag.alias("before")).join(ends, "p").select("k", F.coalesce("before", "last").alias("before"))
-
-
 def in_runs(docs: DataFrame) -> DataFrame:
-    """doc_id, text, with the run of consecutive ids (`_run`) whose rows find their next one together, dealt out by run.
+    """doc_id, text and `_copies`, with the run (`_run`, `_sub`) whose rows find their next one together, dealt out by run.
 
-    The first row of each run also goes, marked as `_ghost`, to the end of the run before, the very first to the
-    end of the last. Between runs only two numbers per run are ordered.
+    A run is a stretch of consecutive ids. One with many rows is parted by id and by a hash of the texts, and its equal rows
+    become one with their number, so that a hot id, or a hot row, is dealt to many tasks. The first row of each run also goes,
+    marked as `_ghost`, to the end of the run before, the very first to the end of the last: the runs' own order is that of a
+    range partitioning of a few numbers a run. Tasks are as many as the texts' bytes ask for.
     """
-    table = texts(docs).withColumn("_h", F.xxhash64("text"))
-    nameless = F.lit(-(1 << 62)) + F.shiftright("_h", 64 - NULL_BITS)
-    runs = table.withColumn("_run", F.coalesce(F.shiftright("doc_id", RUN_BITS), nameless))
-    firsts = keep(runs.groupBy("_run").agg(F.min(F.struct("doc_id", "_h")).alias("_least")), "runs")
-    n = firsts.count()
-    before = previous(firsts.select(F.col("_run").alias("k"))).select(F.col("k").alias("_run"), F.col("before").alias("_before"))
-    firsts = keep(firsts.join(before, "_run"), "runs-before")
+    spark = docs.sparkSession
+    run = F.coalesce(F.shiftright("doc_id", RUN_BITS), F.lit(NAMELESS))
+    table = texts(docs).withColumn("_run", run)
+    counts = table.groupBy("_run").agg(F.count("*").alias("n")).filter((F.col("n") > HOT_ROWS) | (F.col("_run") == NAMELESS))
+    hot = keep(counts.select("_run"), "hot-runs")
+    n_hot = hot.count()
+    rows = table.select("doc_id", "text", F.xxhash64("text").alias("_h"), "_run", F.lit(0).cast("long").alias("_sub"), F.lit(1).cast("long").alias("_copies"))
+    if n_hot:
+        sent = F.broadcast(hot) if n_hot <= SENT_RUNS else hot
+        own = F.coalesce(F.col("doc_id").bitwiseAND(F.lit((1 << RUN_BITS) - 1)), F.lit(0)) * (1 << SUB_BITS)
+        sub = own + F.shiftright("_h", 64 - SUB_BITS) + (1 << (SUB_BITS - 1))
+        many = rows.join(sent, "_run", "left_semi").groupBy("doc_id", "text", "_h", "_run").agg(sub.alias("_sub"), F.count("*").alias("_copies"))
+        rows = rows.join(sent, "_run", "left_anti").unionByName(many)
+    firsts = rows.groupBy("_run", "_sub").agg(F.min(F.struct("doc_id", "_h")).alias("_least"), F.sum(F.octet_length("text")).alias("_bytes"))
+    firsts = placed(firsts.withColumn("tree", F.lit("")), ["_run", "_sub"])
+    n, size = firsts.agg(F.count("*"), F.sum("_bytes")).first()
+    before = firsts.select(((F.col("at") + 1) % F.col("n")).alias("at"), F.col("_run").alias("_run0"), F.col("_sub").alias("_sub0"))
+    firsts = keep(firsts.join(before, "at").select("_run", "_sub", "_least", "_run0", "_sub0"), "runs-before")
     # a few numbers for each run: sent to all tasks while that is small, else joined by run
     sent = F.broadcast(firsts) if n <= SENT_RUNS else firsts
-    heads = runs.join(sent, "_run").filter(F.struct("doc_id", "_h").eqNullSafe(F.col("_least")))
-    heads = heads.groupBy("_run").agg(F.first("doc_id").alias("doc_id"), F.min("text").alias("text"), F.first("_h").alias("_h"), F.first("_before").alias("_before"))
-    both = runs.withColumn("_ghost", F.lit(False)).unionByName(heads.select("doc_id", "text", "_h", F.col("_before").alias("_run"), F.lit(True).alias("_ghost")))
-    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return both.repartition(max(least, -(-n // RUNS_A_TASK)), "_run")
+    heads = rows.join(sent, ["_run", "_sub"]).filter(F.struct("doc_id", "_h").eqNullSafe(F.col("_least")))
+    heads = heads.groupBy("_run", "_sub").agg(F.first("doc_id").alias("doc_id"), F.min("text").alias("text"), F.first("_h").alias("_h"), F.first("_run0").alias("_run0"), F.first("_sub0").alias("_sub0"))
+    ghosts = heads.select("doc_id", "text", "_h", F.col("_run0").alias("_run"), F.col("_sub0").alias("_sub"), F.lit(1).cast("long").alias("_copies"), F.lit(True).alias("_ghost"))
+    both = rows.withColumn("_ghost", F.lit(False)).unionByName(ghosts)
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return both.repartition(max(least, -(-(size or 0) // TASK_BYTES)), "_run", "_sub")
 
 
-def with_next(rows: DataFrame, columns: list[str]) -> DataFrame:
+def with_next(rows: DataFrame, columns: list[str], once: bool = False) -> DataFrame:
     """Adds next_<c>: the columns of the row that follows in ascending doc_id, after the last the first; takes the output of
-    `in_runs`, by then with more columns."""
-    w = Window.partitionBy("_run").orderBy("_ghost", F.col("doc_id").asc_nulls_first(), "_h", "text")
-    return rows.select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in columns]).filter("not _ghost").drop("_ghost", "_run", "_h")
+    `in_runs`, by then with more columns. Each of equal rows but the last is followed by its like.
+
+    once: equal rows with an equal next one stay one row, with their number in `times`.
+    """
+    w = Window.partitionBy("_run", "_sub").orderBy("_ghost", F.col("doc_id").asc_nulls_first(), "_h", "text")
+    found = rows.select("*", F.struct(*[F.lead(c).over(w).alias(c) for c in columns]).alias("_next")).filter("not _ghost")
+    own = F.struct(*[F.col(c).alias(c) for c in columns])
+    last = F.struct(F.col("_next").alias("of"), F.lit(1).cast("long").alias("times"))
+    each = F.when(F.col("_copies") > 1, F.array(F.struct(own.alias("of"), (F.col("_copies") - 1).alias("times")), last)).otherwise(F.array(last))
+    rest = [c for c in rows.columns if c not in ("_ghost", "_run", "_sub", "_h", "_copies")]
+    every = found.select(*rest, F.explode(each).alias("_x")).select(*rest, *[F.col(f"_x.of.{c}").alias(f"next_{c}") for c in columns], F.col("_x.times").alias("times"))
+    return every if once else repeated(every)
+
+
+def repeated(rows: DataFrame) -> DataFrame:
+    """Each row as often as `times` says."""
+    return rows.select(*[c for c in rows.columns if c != "times"], F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("_k")).drop("_k")
 
 
 def op5_one_permutation_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = with_bins(in_runs(documents(spark, sf_dir)), "text", "bins")
-    rows = with_next(own, ["text", "bins"])
+    rows = with_next(own, ["text", "bins"], once=True)
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     rows = rows.select("*", n.cast("long").alias("n_chars"), half.alias("half"))
     edited = F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - F.col("half")), F.substring("next_text", F.lit(1), F.col("half")))
-    rows = rows.select("doc_id", "n_chars", "bins", "next_bins", edited.alias("edited"))
+    rows = rows.select("doc_id", "n_chars", "bins", "next_bins", "times", edited.alias("edited"))
     rows = with_bins(rows.select("*", F.sha2("edited", 256).alias("edited_sha256")), "edited", "edited_bins")
-    return rows.select(
-        "doc_id", "n_chars", "edited_sha256", packed("bins").alias("fingerprint"), packed("edited_bins").alias("edited_fingerprint"),
+    made = rows.select(
+        "times", "doc_id", "n_chars", "edited_sha256", packed("bins").alias("fingerprint"), packed("edited_bins").alias("edited_fingerprint"),
         likeness("bins", "edited_bins").alias("near_edited"), likeness("bins", "next_bins").alias("near_next"),
     )
+    return repeated(made)

@@ -49,22 +49,31 @@ def in_order(spark, rows):
     return sorted(((i is not None, i or 0, h[t or ""], t or "") for i, t, *_ in rows))
 
 
-@pytest.mark.parametrize("bits", [1, 10])
-def test_next_document(spark, monkeypatch, bits):
-    """Also with most rows under no id or under one."""
+@pytest.mark.parametrize("bits,hot", [(1, 4096), (10, 4096), (8, 5), (1, 1)])
+def test_next_document(spark, monkeypatch, bits, hot):
+    """Also with most rows under no id or under one, and with runs parted and equal rows made one."""
     monkeypatch.setattr(minhash, "RUN_BITS", bits)
+    monkeypatch.setattr(minhash, "HOT_ROWS", hot)
     got = minhash.with_next(minhash.in_runs(docs(spark, HOT).repartition(3)), ["text"])
     order = in_order(spark, HOT)
     want = [(i if k else None, t, order[(n + 1) % len(order)][3]) for n, (k, i, _, t) in enumerate(order)]
     assert sorted(str((r["doc_id"], r["text"], r["next_text"])) for r in got.collect()) == sorted(map(str, want))
 
 
-@pytest.mark.parametrize("bits", [1, 3, 18])
-def test_previous(spark, bits):
-    rnd = random.Random(bits)
-    keys = sorted({rnd.choice([rnd.randrange(-20, 20), rnd.randrange(-(1 << 62), 1 << 62)]) for _ in range(80)})
-    got = dict(map(tuple, minhash.previous(spark.createDataFrame([(k,) for k in keys], "k long"), 2, bits).collect()))
-    assert got == {k: keys[n - 1] for n, k in enumerate(keys)}
+def test_tasks_follow_the_bytes(spark, monkeypatch):
+    """Ids like hashes are runs of their own, and still a few tasks; a third of all rows equal is one row to be moved; the rows of
+    one id are dealt to many runs."""
+    rnd = random.Random(6)
+    rows = [(rnd.randrange(-(1 << 60), 1 << 60), f"text {k}", "en", "a") for k in range(600)] + [(7, "the same", "en", "a")] * 300 + [(9, f"nine {k}", "en", "a") for k in range(300)]
+    monkeypatch.setattr(minhash, "HOT_ROWS", 50)
+    runs = minhash.in_runs(docs(spark, rows))
+    assert runs.rdd.getNumPartitions() == 4
+    own = runs.filter("not _ghost").select("doc_id", "_sub", "_copies").collect()
+    assert [r["_copies"] for r in own if r["doc_id"] == 7] == [300] and len({r["_sub"] for r in own if r["doc_id"] == 9}) > 200
+    order = in_order(spark, rows)
+    want = [(i, t, order[(n + 1) % len(order)][3]) for n, (_, i, _, t) in enumerate(order)]
+    got = minhash.with_next(runs, ["text"]).collect()
+    assert sorted((r["doc_id"], r["text"], r["next_text"]) for r in got) == sorted(want)
 
 
 def test_densification(spark):
