@@ -7,8 +7,9 @@ and a word met before need not be encoded again. An encoder looks at its tokeniz
 short way for this one only; `tests/llm/test_tokens.py` holds both against encoding whole texts.
 
 The library holds about 200 bytes for each byte of a text while it encodes it. So a text of more than `PART_CHARS`
-goes through in parts where the tokenizer is known not to look over the cut: before a space between two visible
-characters, where both kinds of pattern below begin anew. Any other tokenizer gets every text in one piece.
+goes through in parts where the tokenizer is known not to look over the cut: before a space between two letters, or behind a
+full-width punctuation mark, where both kinds of pattern below begin anew. A text without any such place, and every
+text of any other tokenizer, goes through in one piece.
 """
 
 from __future__ import annotations
@@ -74,12 +75,13 @@ def words_of(text: str) -> list[str]:
     return text.split()
 
 
-#: Where a long text may be cut: before a space between visible ASCII and a letter.
-_CUT = re.compile("(?<=[!-~]) (?=[A-Za-z])")
+#: Where a long text may be cut: before a space between two letters of any alphabet, or between visible ASCII and a letter, and
+#: behind a full-width punctuation mark before a letter.
+_CUT = re.compile(r"(?<=[^\W\d_]) (?=[^\W\d_])|(?<=[!-~]) (?=[A-Za-z])|(?<=[。！？，、；：])(?=[^\W\d_])")
 
 
 def parts(text: str, most: int) -> Iterator[tuple[int, str]]:
-    """(place, part) of a text in parts of about `most` characters, each beginning with the space it was cut at."""
+    """(place, part) of a text in parts of about `most` characters, each beginning where it was cut."""
     at = 0
     while len(text) - at > most and (cut := _CUT.search(text, at + most)):
         yield at, text[at : cut.start()]

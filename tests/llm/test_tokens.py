@@ -57,3 +57,24 @@ def test_unknown_steps_are_encoded_whole(tmp_path):
     assert not other.by_word and other.most is None
     for t in ODD:
         assert np.frombuffer(other.ids(t), "<u4").tolist() == other.tokenizer.encode(t, add_special_tokens=False).ids
+
+
+LONG = {
+    "cyrillic": "Слово за словом, и снова «ЁЛКА» без конца; ΟΔΥΣΣΕΥΣ ΚΑΙ. ",
+    "chinese": "这是没有空格的文字。第二句，还有第三句！数字12和abc；",
+    "mixed": "naïve e\u0301le\u0301ve  l'été 'tis  x_1 a\tb\nЖ 字 한국어 텍스트 ",
+    "bare": "безпробелов日本語",
+}
+
+
+@pytest.mark.parametrize("name", sorted(LONG))
+@pytest.mark.parametrize("file", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_long_texts_of_any_alphabet_in_parts(monkeypatch, name, file):
+    """Cut or not, ids and spans are those of the whole text; only a text with no place to cut stays whole."""
+    monkeypatch.setattr(tokens, "PART_CHARS", 200)
+    code, text = tokens.Encoder(tokens.tokenizer_path(file)), LONG[name] * 60
+    pieces = [p for _, p in tokens.parts(text, 200)]
+    assert "".join(pieces) == text and (max(map(len, pieces)) < 300 if name != "bare" else len(pieces) == 1)
+    whole = code.tokenizer.encode(text, add_special_tokens=False)
+    assert np.frombuffer(code.ids(text), "<u4").tolist() == whole.ids
+    assert list(map(tuple, code.spans([text])[0].tolist())) == whole.offsets
