@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkrecall import schemas
+from sparkrecall.operators import contexts as C
 from sparkrecall.operators import memory as M
 from sparkrecall.operators import sessions as S
 from sparkrecall.operators.vectors import embed_texts, hashed_bigrams
@@ -86,6 +87,54 @@ def compact_sessions(log: BucketTable, as_of: Column, batch: str, least: int = 2
     return touched
 
 
+# Contexts and journals
+
+
+def context_table(spark: SparkSession, path: str, buckets: int = 256) -> BucketTable:
+    """S4 in buckets by hash: new rows are appended; a look-up reads the buckets of the hashes it asks for, and no other."""
+    return BucketTable(spark, path, schemas.CONTEXTS, "hash", buckets)
+
+
+def find_contexts(table: BucketTable, hashes: DataFrame, as_of: Column) -> DataFrame:
+    """R11 on the stored table; of rows with one hash the latest counts."""
+    asked = written(hashes.select("hash").distinct(), "asked")
+    rows = table.read(table.buckets_of(asked)).join(asked, "hash", "left_semi")
+    return C.retrieve_contexts(C.upsert_contexts(rows, rows.limit(0)), asked, as_of)
+
+
+def compact_contexts(table: BucketTable, as_of: Column, batch: str, least: int = 2) -> list[int]:
+    """Rewrites the buckets of several folders with the latest row of each hash, and none that has expired."""
+    folders = [b for b, *_ in table.state()]
+    touched = sorted({b for b in folders if folders.count(b) >= least})
+    if touched and not table.done(batch):
+        rows = table.read(touched)
+        table.rewrite(C.upsert_contexts(rows, rows.limit(0)).filter(F.col("expires_at") > as_of.cast("timestamp")), touched, batch)
+    return touched
+
+
+JOURNAL = "user_id string, request_id string, pos int, type string, role string, content string, original_url string, local_path string, timestamp timestamp, date date"
+
+
+def journal_table(spark: SparkSession, path: str, buckets: int = 64) -> BucketTable:
+    """S5 for many users: entries in buckets by user instead of a folder for each user and day; files are bounded by rows, a hot user's
+    entries are dealt to several tasks, and `compact` joins small ones. One user's journal is one bucket, ordered by time."""
+    return BucketTable(spark, path, JOURNAL, "user_id", buckets)
+
+
+def log_journal(table: BucketTable, entries: DataFrame, batch: str) -> bool:
+    """J5's write: adds `date`, the UTC day of an entry."""
+    return table.append(entries.withColumn("date", F.to_date("timestamp")), batch)
+
+
+def stream_journal_table(entries: DataFrame, table: BucketTable, checkpoint: str, name: str = "stream"):
+    """W4 on the stored table: every micro-batch is appended once."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        log_journal(table, batch, f"{name}/{number}")
+
+    return entries.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 # Exact stores
 
 #: Store calls of a user that go through in one round, and stored hits that a fact brings along beyond the k it may need.

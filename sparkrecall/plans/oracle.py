@@ -224,7 +224,7 @@ add(
     CAST(sum(CASE WHEN doc_id % 3 = 0 THEN n_chars ELSE 0 END) AS BIGINT) AS total_tokens FROM documents GROUP BY source""",
 )
 add("l6_knn", f"WITH {VEC}, {knn(10)} SELECT request_id, id, round(score, 6) AS score, rank FROM hits")
-SQL["l6_knn_sql"] = SQL["l6_knn"]
+SQL["l6_knn_blocks"] = SQL["l6_knn"]
 add("l7_knn_global", f"WITH {VEC}, {knn(10, 'TRUE')} SELECT request_id, id, round(score, 6) AS score, rank FROM hits")
 FACTS = "facts AS (SELECT vec_id, 'r' || label AS request_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS fact_pos FROM vec WHERE vec_id % 20 = 0)"
 add(

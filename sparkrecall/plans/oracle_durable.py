@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from sparkrecall.plans.oracle import ACTIONS, EPOCH, MSG, SQL as OTHER, VEC
-from sparkrecall.plans.oracle_io import LINES, embedded
+from sparkrecall.plans.oracle_io import LINES, SQL as FILES, embedded
 
 SQL: dict[str, str] = {}
 
@@ -48,3 +48,5 @@ SELECT id, user_id, data FROM state WHERE id IS NOT NULL AND wave = (SELECT max(
 SQL["l7_index_recall"] = "SELECT 'q' || vec_id AS request_id, CAST(least(10, (SELECT count(*) FROM embeddings)) AS BIGINT) AS n_hits, TRUE AS reached FROM embeddings WHERE vec_id % 20 = 0"
 SQL["u1_model_cache"] = """SELECT md5(coalesce(text, '')) AS digest, count(*) AS "rows", CAST(1 AS BIGINT) AS calls
 FROM (SELECT text FROM documents WHERE doc_id % 3 <> 0 UNION ALL SELECT text FROM documents WHERE doc_id % 3 <> 1) GROUP BY 1"""
+SQL["r11_stored_contexts"] = OTHER["r11_retrieve_contexts"]
+SQL["s5_journal_table"] = SQL["w4_durable_journal"] = FILES["s5_journal_files"]

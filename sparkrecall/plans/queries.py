@@ -336,7 +336,7 @@ def l6_knn(spark, d):
 
 
 @query
-def l6_knn_sql(spark, d):
+def l6_knn_blocks(spark, d):
     """The same search in small blocks on either side: every chunk of a user's memories meets every block of the queries."""
     return N.knn_blocks(W.vector_queries(spark, d), W.memories(spark, d), 10, 20, 3).select("request_id", "id", F.round("score", 6).alias("score"), "rank")
 
@@ -402,7 +402,7 @@ def l13_parse_actions(spark, d):
     e = W.table(spark, d, "embeddings").select("vec_id", F.concat(F.lit("q"), F.col("vec_id").cast("string")).alias("request_id"), F.concat(F.lit("u"), F.col("label").cast("string")).alias("user_id"))
     k = F.col("vec_id") % 6
     good = F.concat(F.lit('{"memory": [{"id": "a'), F.col("vec_id").cast("string"), F.lit('", "text": "one", "event": "UPDATE", "old_memory": "zero"}, {"id": "b", "text": "two", "event": "NONE"}]}'))
-    response = F.when(k == 0, "not valid json{}{").when(k == 1, '{"memory": null}').when(k == 2, '{"other": 1}').when(k == 3, "[1]").when(k == 4, '{"memory": []}').otherwise(good)
+    response = F.when(k == 0, "{broken").when(k == 1, '{"memory": null}').when(k == 2, '{"other": 1}').when(k == 3, "[1]").when(k == 4, '{"memory": []}').otherwise(good)
     facts = e.select("request_id", "user_id", F.lit(0).alias("fact_pos"), F.concat(F.lit("fact "), F.col("vec_id").cast("string")).alias("fact"))
     return M.parse_actions(e.withColumn("response", response), facts).select("request_id", "pos", "id", "text", "event", "old_memory")
 

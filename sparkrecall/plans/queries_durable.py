@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkrecall.operators import index as I
+from sparkrecall.operators import journal as J
 from sparkrecall.operators import vectors as N
 from sparkrecall.plans import durable as D
 from sparkrecall.plans import views as W
-from sparkrecall.plans.queries import _rounds, as_of, memory_actions, query
+from sparkrecall.plans.queries import _contexts, _rounds, _saved, as_of, memory_actions, query
+from sparkrecall.plans.queries_io import _entry_columns
 from sparkrecall.sources import tables as X
 from sparkrecall.sources.models import ModelCache
 
@@ -99,3 +101,38 @@ def u1_model_cache(spark, d):
         got = ask(rows, _numbered, "system", "user").join(rows.select("request_id", F.md5("user").alias("digest")), "request_id")
         said = got if said is None else said.unionByName(got)
     return said.groupBy("digest").agg(F.count("*").alias("rows"), F.count_distinct("response").alias("calls"))
+
+
+@query
+def r11_stored_contexts(spark, d):
+    """Contexts stored in two batches, a third of them first with another expiry, and looked up by hash, with hashes nobody has."""
+    table, c = D.context_table(spark, X.scratch(spark, "contexts"), BUCKETS), _contexts(spark, d)
+    early = c.withColumn("created_at", F.timestamp_seconds(F.lit(W.EPOCH))).withColumn("expires_at", F.timestamp_seconds(F.lit(W.EPOCH)))
+    table.append(early, "first")
+    table.append(c.filter(F.ascii("hash") % 3 != 0), "second")
+    asked = c.select("hash").union(W.requests(spark, d).select(F.substring(F.md5("request_id"), 1, 24)))
+    return D.find_contexts(table, asked, as_of()).select("hash", "found", "round_id", "omitted_messages")
+
+
+@query
+def s5_journal_table(spark, d):
+    """The journal in two batches, then compacted."""
+    table, r = D.journal_table(spark, X.scratch(spark, "journal"), BUCKETS), W.page_requests(spark, d)
+    for k in (0, 1):
+        D.log_journal(table, J.journal_entries(r.filter(F.col("page_id") % 2 == k), _saved(spark, d)), f"pages {k}")
+    table.compact("compact")
+    return _entry_columns(table.read())
+
+
+@query
+def w4_durable_journal(spark, d):
+    """The journal as a stream of two lots, the second after a restart; the first is sent once more under its number."""
+    source, path, checkpoint = (X.scratch(spark, n) for n in ("entries", "journal", "checkpoint"))
+    r = W.page_requests(spark, d)
+    for k in (0, 1):
+        entries = J.journal_entries(r.filter(F.col("page_id") % 2 == k), _saved(spark, d))
+        entries.write.mode("append").parquet(source)
+        table = D.journal_table(spark, path, BUCKETS)
+        D.stream_journal_table(spark.readStream.schema(entries.schema).parquet(source), table, checkpoint).awaitTermination()
+    D.log_journal(table, entries, "stream/0")
+    return _entry_columns(table.read())

@@ -111,3 +111,13 @@ class BucketTable:
             return False
         self._write(rows, "rewrite", touched, batch)
         return True
+
+    def compact(self, batch: str, least: int = 2) -> list[int]:
+        """Rewrites the buckets of at least `least` folders, each as one; gives their numbers."""
+        folders: dict[int, int] = {}
+        for b, *_ in self.state():
+            folders[b] = folders.get(b, 0) + 1
+        touched = [b for b, n in sorted(folders.items()) if n >= least]
+        if touched and not self.done(batch):
+            self.rewrite(self.read(touched), touched, batch)
+        return touched

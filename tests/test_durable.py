@@ -185,3 +185,35 @@ def test_exact_store_with_a_decider_of_ones_own(spark):
     got = D.remember_exact(rows, spark.createDataFrame([], schemas.MEMORIES), N.hashed_bigrams(16), decider=decide)
     assert [r["data"] for r in got.memories.collect()] == ["one thing"]
     assert [r["event"] for r in got.actions.orderBy("request_id").collect()] == ["ADD", "DELETE", "ADD"]
+
+
+def context(h, at, text, hours=24):
+    return (h, "u", "s", "r", "kept", text, "q", "k", "o", T0 + dt.timedelta(hours=at), T0 + dt.timedelta(hours=at + hours))
+
+
+def test_a_look_up_reads_the_buckets_of_its_hashes(spark, tmp_path):
+    table = D.context_table(spark, f"{tmp_path}/c", 32)
+    table.append(spark.createDataFrame([context(f"h{k:03}", 0, f"first {k}") for k in range(200)], schemas.CONTEXTS), "one")
+    table.append(spark.createDataFrame([context("h007", 2, "later"), context("h008", 2, "gone", -1)], schemas.CONTEXTS), "two")
+    asked = spark.createDataFrame([("h007",), ("h008",), ("h150",), ("nobody",), ("h150",)], "hash string")
+    got = {r["hash"]: (r["found"], r["omitted_messages"]) for r in D.find_contexts(table, asked, F.lit(T0 + dt.timedelta(hours=3))).collect()}
+    assert got == {"h007": (True, "later"), "h008": (False, None), "h150": (True, "first 150"), "nobody": (False, None)}
+    read = {int(f.split("bucket=")[1].split("/")[0]) for f in table.read(table.buckets_of(asked)).inputFiles()}
+    assert read <= set(table.buckets_of(asked)) and len(read) <= 4
+    now = F.lit(T0 + dt.timedelta(hours=3))
+    assert set(D.compact_contexts(table, now, "three")) == set(table.buckets_of(spark.createDataFrame([("h007",), ("h008",)], "hash string")))
+    assert {r["hash"]: (r["found"], r["omitted_messages"]) for r in D.find_contexts(table, asked, now).collect()} == got
+
+
+def test_journal_of_many_users(spark, tmp_path):
+    """Files follow buckets, not users and days; a hot user's entries are dealt out; compaction keeps every row."""
+    table = D.journal_table(spark, f"{tmp_path}/j", 8)
+    entries = [(f"u{k % 100}" if k % 2 else "hot", f"r{k}", 1, "message", "user", f"text {k}", None, None, T0 + dt.timedelta(days=k % 40)) for k in range(600)]
+    rows = spark.createDataFrame(entries, D.JOURNAL.removesuffix(", date date"))
+    for k in range(3):
+        assert D.log_journal(table, rows.filter(F.substring("request_id", 2, 9).cast("int") % 3 == k), f"batch {k}")
+    assert len([f for f in files(tmp_path) if "bucket=" in f]) <= 24
+    before = sorted((r["request_id"], r["date"]) for r in table.read().collect())
+    assert before == sorted((e[1], e[-1].date()) for e in entries)
+    assert table.compact("all") == sorted({b for b, *_ in table.state()}) and len(table.state()) <= 8 and table.compact("again") == []
+    assert sorted((r["request_id"], r["date"]) for r in table.read().collect()) == before

@@ -32,7 +32,7 @@ FACTS = "request_id string, user_id string, fact_pos int, fact string"
 
 
 def test_facts(spark):
-    got = M.parse_facts(responses(spark, [("a", '{"facts": ["x", "y"]}'), ("b", "not valid json"), ("c", "{}"), ("d", '{"facts": []}')]))
+    got = M.parse_facts(responses(spark, [("a", '{"facts": ["x", "y"]}'), ("b", "{broken"), ("c", "{}"), ("d", '{"facts": []}')]))
     assert sorted(tuple(r) for r in got.collect()) == [("a", 0, "x"), ("a", 1, "y")]
 
 
@@ -43,7 +43,7 @@ def test_usage(spark):
 
 def test_actions_parsed(spark):
     cases = {
-        "bad": "not valid json{}{", "null": '{"memory": null}', "null_later": '{"a": 1, "memory": null}', "none": '{"other": 1}', "list": "[1]", "text": '"x"', "empty": '{"memory": []}',
+        "bad": "{broken", "null": '{"memory": null}', "null_later": '{"a": 1, "memory": null}', "none": '{"other": 1}', "list": "[1]", "text": '"x"', "empty": '{"memory": []}',
         "good": '{"memory": [{"id": "1", "text": "t", "event": "UPDATE", "old_memory": "o"}, {"id": "2", "event": "DELETE"}]}', "void": "null",
     }
     facts = spark.createDataFrame([(k, "u", 0, f"f-{k}") for k in cases], FACTS)
@@ -59,10 +59,10 @@ def act(request, pos, event, id=None, text=None, user="u", vector=(1.0,), ts=T0)
 
 
 def test_literal_merges(spark):
-    table = memories(spark, [("abc123", "u", "Shanghai", [1.0]), ("mem_1", "u", "gone", [1.0])])
-    steps = [act("r", 0, "UPDATE", "abc123", "Beijing"), act("r", 1, "delete", "mem_1"), act("r", 2, "UPDATE", "missing", "x"), act("r", 3, "NONE", "abc123"), act("r", 4, None, "abc123"), act("r", 5, "DELETE", None)]
+    table = memories(spark, [("k7", "u", "Oslo", [1.0]), ("k9", "u", "gone", [1.0])])
+    steps = [act("r", 0, "UPDATE", "k7", "Lima"), act("r", 1, "delete", "k9"), act("r", 2, "UPDATE", "missing", "x"), act("r", 3, "NONE", "k7"), act("r", 4, None, "k7"), act("r", 5, "DELETE", None)]
     got = M.apply_actions(table, spark.createDataFrame(steps, ACTIONS)).collect()
-    assert [(r["id"], r["data"], r["hash"]) for r in got] == [("abc123", "Beijing", "h-abc123")]
+    assert [(r["id"], r["data"], r["hash"]) for r in got] == [("k7", "Lima", "h-k7")]
 
 
 def plain_merge(table, actions):
@@ -157,9 +157,9 @@ def test_store_then_recall(spark):
     none, rounds = spark.createDataFrame([], schemas.MEMORIES), spark.createDataFrame([], schemas.ROUNDS)
     now = F.lit(T0 + dt.timedelta(minutes=1))
     embed = N.hashed_bigrams(64)
-    done = jobs.store(request(spark, [("r1", "u1", "I live in Shanghai\n\nI like tea"), ("r2", "u2", "I like tea")]), rounds, none, now, embed)
+    done = jobs.store(request(spark, [("r1", "u1", "I live in Oslo\n\nI like tea"), ("r2", "u2", "I like tea")]), rounds, none, now, embed)
     got = {(r["user_id"], r["data"]): r["id"] for r in done.memories.collect()}
-    assert got == {(u, t): doc_id(u, t) for u, t in (("u1", "I live in Shanghai"), ("u1", "I like tea"), ("u2", "I like tea"))}
+    assert got == {(u, t): doc_id(u, t) for u, t in (("u1", "I live in Oslo"), ("u1", "I like tea"), ("u2", "I like tea"))}
     again = jobs.store(request(spark, [("r3", "u1", "I like tea")]), done.rounds, done.memories, now, embed)
     assert [r["event"] for r in again.actions.collect()] == ["NONE"] and again.memories.count() == 3 and again.rounds.count() == 3
     out = jobs.recall(request(spark, [("r4", "u1", "I like tea")]), again.rounds, again.memories, now, embed)
@@ -175,7 +175,7 @@ def answers(old, facts):
 
 
 def extracted(system, user):
-    return [("not valid json" if "bad" in u else '{"facts": ["likes tea"]}', '{"prompt_tokens": 50, "completion_tokens": 20, "total_tokens": 70}') for u in user]
+    return [("{broken" if "bad" in u else '{"facts": ["likes tea"]}', '{"prompt_tokens": 50, "completion_tokens": 20, "total_tokens": 70}') for u in user]
 
 
 def test_store_routes_and_counts(spark):
