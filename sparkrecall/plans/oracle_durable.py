@@ -50,3 +50,4 @@ SQL["u1_model_cache"] = """SELECT md5(coalesce(text, '')) AS digest, count(*) AS
 FROM (SELECT text FROM documents WHERE doc_id % 3 <> 0 UNION ALL SELECT text FROM documents WHERE doc_id % 3 <> 1) GROUP BY 1"""
 SQL["r11_stored_contexts"] = OTHER["r11_retrieve_contexts"]
 SQL["s5_journal_table"] = SQL["w4_durable_journal"] = FILES["s5_journal_files"]
+SQL["w1_stream_from_table"] = FILES["w1_stream_sessions"]

@@ -5,18 +5,20 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkrecall.operators import index as I
 from sparkrecall.operators import journal as J
+from sparkrecall.operators import sessions as S
 from sparkrecall.operators import vectors as N
 from sparkrecall.plans import durable as D
 from sparkrecall.plans import views as W
 from sparkrecall.plans.queries import _contexts, _rounds, _saved, as_of, memory_actions, query
-from sparkrecall.plans.queries_io import _entry_columns
+from sparkrecall.plans.queries_io import _calls, _entry_columns
 from sparkrecall.sources import tables as X
 from sparkrecall.sources.models import ModelCache
+from sparkrecall.streaming import streams
 
 #: Few, so that other users share the buckets of the two whose memories change.
 BUCKETS = 16
@@ -136,3 +138,26 @@ def w4_durable_journal(spark, d):
         D.stream_journal_table(spark.readStream.schema(entries.schema).parquet(source), table, checkpoint).awaitTermination()
     D.log_journal(table, entries, "stream/0")
     return _entry_columns(table.read())
+
+
+@query
+def w1_stream_from_table(spark, d):
+    """The earlier half of all store calls as a stored table by the batch operators; a stream starts from it and takes the later half;
+    the sessions are then read from the stream's state."""
+    source, checkpoint, stored = (X.scratch(spark, n) for n in ("calls", "checkpoint", "stored"))
+    calls, was = _calls(spark, d), spark.conf.get(streams.STATE_STORE, None)
+    low, high = calls.agg(F.min(F.unix_seconds("ts")), F.max(F.unix_seconds("ts"))).first()
+    early = F.unix_seconds("ts") < ((low or 0) + (high or 0)) // 2
+    first = S.append_rounds(calls.filter(early).withColumn("round_no", F.lit(0)), calls.withColumn("round_no", F.lit(0)).limit(0))
+    segments = S.segments(first).withColumn("last", F.max("segment").over(Window.partitionBy(*S.KEYS))).filter("segment = last")
+    kept = S.keep_last_rounds(segments).drop("segment", "last", "updated_at")
+    kept.write.parquet(stored)
+    calls.filter(~early).write.parquet(source)
+    spark.conf.set(streams.STATE_STORE, streams.ROCKSDB)
+    try:
+        rows = streams.stream_sessions(spark.readStream.schema(calls.schema).parquet(source), forget=False, stored=spark.read.parquet(stored))
+        rows.writeStream.outputMode("update").format("noop").option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+        states = X.written(streams.session_states(spark, checkpoint), "states")
+    finally:
+        spark.conf.set(streams.STATE_STORE, was) if was else spark.conf.unset(streams.STATE_STORE)
+    return states.select("user_id", "session_id", "round_no", "round_id", "first_user_text")

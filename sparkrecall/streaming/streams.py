@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -30,6 +30,11 @@ class SessionProcessor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("session", ROUND_STATE, ttlDurationMs=self.ttl * 1000 if self.forget else None)
 
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        rows = initialState.sort_values("round_no")
+        rounds = [(r.ts.value // 1000, r.round_id, r.first_user_text, r.messages) for r in rows.itertuples()]
+        self.state.update((rounds[-self.n :], rounds[-1][0]))
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         found = self.state.get() if self.state.exists() else None
         rounds = [tuple(r) for r in found[0]] if found else []
@@ -53,15 +58,25 @@ class SessionProcessor(StatefulProcessor):
         pass
 
 
-def stream_sessions(rounds: DataFrame, n: int = ROUNDS_KEPT, ttl: int = SESSION_TTL, forget: bool = True) -> DataFrame:
+def stream_sessions(rounds: DataFrame, n: int = ROUNDS_KEPT, ttl: int = SESSION_TTL, forget: bool = True, stored: DataFrame | None = None) -> DataFrame:
     """After each batch, the rounds of every session it touched.
 
+    stored: sessions to start from, as rows like those that come out; taken up when the stream first starts.
+
     rounds: user_id, session_id, ts, round_id, first_user_text, messages (as JSON). Needs the RocksDB state store. With
     `forget` the store drops a session's state once it has been idle for ttl by the clock; a stream that watches the clock
     never ends by itself, so a replay that should (trigger availableNow) turns this off. What comes out is the same.
     """
     own = rounds.select("user_id", "session_id", "ts", "round_id", "first_user_text", "messages")
-    return own.groupBy("user_id", "session_id").transformWithStateInPandas(SessionProcessor(n, ttl, forget), SESSION_ROWS, "update", "ProcessingTime" if forget else "None")
+    first = None if stored is None else stored.select("user_id", "session_id", "round_no", "ts", "round_id", "first_user_text", "messages").groupBy("user_id", "session_id")
+    return own.groupBy("user_id", "session_id").transformWithStateInPandas(SessionProcessor(n, ttl, forget), SESSION_ROWS, "update", "ProcessingTime" if forget else "None", first)
+
+
+def session_states(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The sessions that a stream of `stream_sessions` holds, read from its checkpoint, in the form of its rows."""
+    held = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "session").load()
+    value = held.select("key.*", F.posexplode("value.rounds").alias("at", "r"))
+    return value.select("user_id", "session_id", (F.col("at") + 1).alias("round_no"), "r.round_id", F.timestamp_micros("r.ts").alias("ts"), "r.first_user_text", "r.messages")
 
 
 def stream_session_windows(rounds: DataFrame, ttl: int = SESSION_TTL, late: str = "1 hour") -> DataFrame:
