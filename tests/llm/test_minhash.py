@@ -121,3 +121,18 @@ def test_fingerprints(spark):
 def test_one_row_follows_itself(spark):
     rows = minhash.with_next(minhash.in_runs(docs(spark, ROWS[:1])), ["text"]).collect()
     assert len(rows) == 1 and rows[0]["next_text"] == rows[0]["text"]
+
+
+def test_long_texts(spark, tmp_path):
+    """A text of two million characters next to short ones."""
+    import hashlib
+
+    long = " ".join(f"word{k * 7919 % 100_003}" for k in range(200_000))
+    rows = [(1, "a few short words here", "en", "a"), (2, long, "en", "a"), (3, long[: len(long) // 2], "en", "a")]
+    docs(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in minhash.op5_one_permutation_minhash(spark, str(tmp_path)).collect()}
+    half = len(long) // 2
+    edited = long[: len(long) - half] + rows[2][1][:half]
+    assert got[2]["n_chars"] == len(long) and got[2]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+    a, b = shingles(long), shingles(rows[2][1])
+    assert abs(got[2]["near_next"] - len(a & b) / len(a | b)) < 0.13
