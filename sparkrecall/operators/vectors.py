@@ -98,15 +98,29 @@ def block_hits(queries: DataFrame, memories: DataFrame, k: int, chunk_rows: int
 
 
 def knn_global(queries: DataFrame, memories: DataFrame, k: int = TOP_K, block: int = QUERY_BLOCK) -> DataFrame:
-    """No user filter. Up to `block` queries are sent to all tasks, and memories are not shuffled; more queries are dealt
-    out in blocks that meet the memories in chunks, as those of one large user."""
+    """No user filter. Up to `block` queries are sent to all tasks, and memories are not shuffled; more queries take turns, in
+    blocks of about that many, each of which passes over the memories once. For very many, `operators.index` meets fewer rows."""
     few = queries.select("request_id", "vector").limit(block + 1).toPandas()
-    if len(few) > block:
-        all_ = F.lit("").alias("user_id")
-        return knn_blocks(queries.select("request_id", "vector", all_), memories.select("id", "vector", all_), k, query_rows=block).drop("user_id")
     if few.empty:
         return queries.sparkSession.createDataFrame([], HITS + ", rank int")
-    sent = queries.sparkSession.sparkContext.broadcast((few["request_id"].to_numpy(), _unit(few["vector"])))
+    if len(few) <= block:
+        return _sent(few, memories, k)
+    from sparkrecall.sources.tables import written
+
+    turns = -(-queries.count() // block)
+    own = written(queries.select("request_id", "vector", F.pmod(F.xxhash64("request_id"), F.lit(turns)).alias("_turn")), "queries")
+    found = None
+    for turn in range(turns):
+        part = own.filter(F.col("_turn") == turn).toPandas()
+        if not part.empty:
+            hits = written(_sent(part, memories, k), "hits")
+            found = hits if found is None else found.unionByName(hits)
+    return found
+
+
+def _sent(few: pd.DataFrame, memories: DataFrame, k: int) -> DataFrame:
+    """The k best of all memories for queries that are sent to every task."""
+    sent = memories.sparkSession.sparkContext.broadcast((few["request_id"].to_numpy(), _unit(few["vector"])))
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         q_ids, q = sent.value

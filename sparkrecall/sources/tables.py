@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -95,10 +96,12 @@ def write_memories(memories: DataFrame, path: str, dims: int = schemas.DIMS, buc
 
 def read_memories(spark: SparkSession, path: str, buckets: list[int] | None = None) -> DataFrame:
     """S3: the memory table, or given buckets of it; an empty table where there is none yet."""
-    spark_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not spark_path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(spark_path):
+    try:
+        own = spark.read.schema(schemas.MEMORIES + ", bucket int").parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schemas.MEMORIES)
-    own = spark.read.schema(schemas.MEMORIES + ", bucket int").parquet(path)
     return (own.filter(F.col("bucket").isin(buckets)) if buckets is not None else own).drop("bucket")
 
 
