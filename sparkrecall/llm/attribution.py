@@ -25,11 +25,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, slices, texts
-from .tokens import encoder, tokenizer_path
+from .tokens import Encoder, encoder, tokenizer_path
 
 CHUNK = 1000
 RULES = ("middle", "start", "split")
@@ -37,25 +38,25 @@ SECTION = "array<struct<section:string,start:bigint,end:bigint>>"
 SCHEMA = "doc_id long, section string, start long, end long, n_tokens double, n_crossing long"
 
 
-def shares(spans: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each border: tokens before it, a crossing one by its share, and how many cross it."""
+def shares(spans: np.ndarray, at: np.ndarray, split: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each border: tokens before it, the share of crossing ones that lies before it (if asked for), and how many cross it."""
     starts, ends = spans[:, 0], spans[:, 1]
     low, high = np.searchsorted(ends, at, "right"), np.searchsorted(starts, at, "left")
-    before = low.astype(float)
-    for k in np.flatnonzero(high > low):
+    part = np.zeros(len(at))
+    for k in np.flatnonzero(high > low) if split else ():
         s, e = starts[low[k] : high[k]], ends[low[k] : high[k]]
-        before[k] += ((at[k] - s) / (e - s)).sum()
-    return before, np.maximum(high - low, 0)
+        part[k] = ((at[k] - s) / (e - s)).sum()
+    return low, part, np.maximum(high - low, 0)
 
 
 def allocate(spans: np.ndarray, starts: np.ndarray, ends: np.ndarray, rule: str) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens and crossing tokens of each section of one document."""
+    """Tokens and crossing tokens of each section, over one sequence of spans."""
     ends = np.maximum(starts, ends)
-    first, cross_first = shares(spans, starts)
-    last, cross_last = shares(spans, ends)
+    first, part_first, cross_first = shares(spans, starts, rule == "split")
+    last, part_last, cross_last = shares(spans, ends, rule == "split")
     empty = starts == ends
     if rule == "split":
-        n = last - first
+        n = (last - first) + (part_last - part_first)
     else:
         point = spans[:, 0] if rule == "start" else spans[:, 0] + (spans[:, 1] - spans[:, 0] - 1) // 2
         n = (np.searchsorted(point, ends, "left") - np.searchsorted(point, starts, "left")).astype(float)
@@ -64,6 +65,25 @@ def allocate(spans: np.ndarray, starts: np.ndarray, ends: np.ndarray, rule: str)
     return np.where(empty, 0.0, n), np.where(empty, 0, cross_first + cross_last - both)
 
 
+def _dealt(part: pa.RecordBatch, code: Encoder, rule: str) -> pa.RecordBatch:
+    """The sections of a slice of documents. Equal texts are encoded once; the tokens of all texts are laid end to end, a place
+    apart, so that the sections of all documents are met with them at once."""
+    lists = part.column(2)
+    counts, own = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64), lists.flatten()
+    every = [t or "" for t in part.column(1).to_pylist()]
+    once = {t: k for k, t in enumerate(dict.fromkeys(every))}
+    size = np.array([len(t) for t in once], np.int64)
+    base = np.cumsum(size + 1) - size - 1
+    spans = code.spans(list(once))
+    laid = spans[0] if len(spans) == 1 else np.concatenate([s + b for s, b in zip(spans, base)])
+    of = np.repeat(np.array([once[t] for t in every]), counts)
+    low, high = (pc.fill_null(pc.struct_field(own, c), 0).to_numpy(zero_copy_only=False) for c in ("start", "end"))
+    # what a section has beyond its text is no other text's
+    n, cross = allocate(laid, *(base[of] + np.clip(at, 0, size[of]) for at in (low, high)), rule)
+    doc_ids = part.column(0).take(pa.array(np.repeat(np.arange(part.num_rows), counts)))
+    return pa.RecordBatch.from_arrays([doc_ids, pc.struct_field(own, "section"), *map(pa.array, (low, high, n, cross))], names=["doc_id", "section", "start", "end", "n_tokens", "n_crossing"])
+
+
 def attribute(table: DataFrame, rule: str = "middle", tokenizer: str | None = None) -> DataFrame:
     """table: doc_id, text, sections (an array of section, start, end) -> a row per document and section."""
     if rule not in RULES:
@@ -75,17 +95,9 @@ def attribute(table: DataFrame, rule: str = "middle", tokenizer: str | None = No
         code = encoder(tokenizer)
         for batch in batches:
             for part in slices(batch, 1):
-                rows = [r for r in zip(*(c.to_pylist() for c in part.columns)) if r[2]]
-                doc_ids, names, low, high, tokens, crossing = [], [], [], [], [], []
-                for (doc_id, _, own), spans in zip(rows, code.spans([r[1] or "" for r in rows])):
-                    starts, ends = (np.array([s[c] or 0 for s in own], np.int64) for c in ("start", "end"))
-                    n, cross = allocate(spans, starts, ends, rule)
-                    doc_ids += [doc_id] * len(own)
-                    names += [s["section"] for s in own]
-                    for column, values in ((low, starts), (high, ends), (tokens, n), (crossing, cross)):
-                        column.append(values)
-                columns = [np.concatenate(c) if c else np.zeros(0, d) for c, d in ((low, np.int64), (high, np.int64), (tokens, float), (crossing, np.int64))]
-                yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(names, pa.string()), *map(pa.array, columns)], names=["doc_id", "section", "start", "end", "n_tokens", "n_crossing"])
+                part = part.filter(pc.greater(pc.fill_null(pc.list_value_length(part.column(2)), 0), 0))
+                if part.num_rows:
+                    yield _dealt(part, code, rule)
 
     return table.select("doc_id", "text", F.col("sections").cast(SECTION)).mapInArrow(run, SCHEMA)
 
@@ -110,9 +122,13 @@ def attribute_fields(docs: DataFrame, fields: list[str], rule: str = "middle", s
 
 def chunks(chunk: int = CHUNK) -> F.Column:
     """Sections of `chunk` characters over the column text; an empty text has one, empty."""
-    n = F.char_length("text").cast("long")
-    starts = F.sequence(F.lit(0).cast("long"), F.greatest(n - 1, F.lit(0)), F.lit(chunk).cast("long"))
-    return F.transform(starts, lambda s: F.struct((s / chunk).cast("long").cast("string").alias("section"), s.alias("start"), F.least(s + chunk, n).alias("end")))
+
+    def cut(n: F.Column) -> F.Column:
+        starts = F.sequence(F.lit(0).cast("long"), F.greatest(n - 1, F.lit(0)), F.lit(chunk).cast("long"))
+        return F.transform(starts, lambda s: F.struct((s / chunk).cast("long").cast("string").alias("section"), s.alias("start"), F.least(s + chunk, n).alias("end")))
+
+    # the text is measured once, not for each of its sections
+    return F.transform(F.array(F.char_length("text").cast("long")), cut)[0]
 
 
 def op1_offset_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:

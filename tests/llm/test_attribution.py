@@ -63,3 +63,29 @@ def test_empty(spark):
     assert attribution.attribute(rows).count() == 0
     empty = texts(docs(spark)).withColumn("sections", F.lit(None).cast(attribution.SECTION))
     assert attribution.attribute(empty).count() == 0
+
+
+@pytest.mark.parametrize("rule", attribution.RULES)
+def test_sections_of_a_slice_are_their_own(spark, rule):
+    """Copies, repeated rows, a null id and sections beyond their text, all in one slice, against one document at a time."""
+    code = Encoder(tokenizer_path())
+    rng = np.random.default_rng(3)
+    rows = []
+    for i, t, *_ in ROWS + ROWS[:3]:
+        n = len(t or "")
+        low = rng.integers(-20, n + 30, 9)
+        own = [(f"s{k}", int(a), int(a + rng.integers(-5, 60))) for k, a in enumerate(low)]
+        rows.append((i, t, [*own, ("all", 0, n), ("far", n, n + 50), ("null", None, None)]))
+    table = spark.createDataFrame(rows, f"doc_id long, text string, sections {attribution.SECTION}").coalesce(1)
+    got = sorted([str(r["doc_id"]), r["section"], r["start"], r["end"], round(r["n_tokens"], 6), r["n_crossing"]] for r in attribution.attribute(table, rule).collect())
+    want = []
+    for i, t, own in rows:
+        spans = code.tokenizer.encode(t or "", add_special_tokens=False).offsets
+        if len(spans) > 3000:
+            own = own[-3:]
+        for name, a, b in own:
+            n, cross = plain(spans, a or 0, b or 0, rule)
+            want.append([str(i), name, a or 0, b or 0, round(float(n), 6), cross])
+    long = {w[0] for w in want} - {"9"}
+    assert [g for g in got if g[0] in long] == sorted(w for w in want if w[0] in long)
+    assert all(w in got for w in want) and len(got) == 12 * len(rows)
