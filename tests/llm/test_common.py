@@ -1,5 +1,6 @@
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from sparkrecall.llm import common
 
@@ -27,3 +28,17 @@ def test_a_cluster_needs_a_shared_folder():
 
     with pytest.raises(ValueError):
         common.work_dir(Session)
+
+
+def test_batches_by_bytes(spark):
+    """Python tasks of a kept table get batches of bounded bytes, however large its rows are."""
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["rows", "bytes"])
+
+    rows = spark.range(0, 400, 1, 1).select(F.repeat(F.lit("x"), 100_000).alias("text"))
+    was = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    got = common.keep(rows.mapInArrow(sizes, "rows long, bytes long"), "batch-sizes").collect()
+    assert sum(r["rows"] for r in got) == 400 and max(r["bytes"] for r in got) < 12_000_000
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == was
