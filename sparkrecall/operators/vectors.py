@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from sparkrecall.schemas import DIMS, TOP_K
 
 #: Rows of a user's memories, and of the user's queries, that one task multiplies with one another; larger users are split.
+#: Smaller chunks and blocks of a user share a task up to so many rows.
 CHUNK_ROWS, QUERY_ROWS = 50_000, 5_000
 #: Queries that are sent to all tasks at once by the global search; more are dealt out in blocks.
 QUERY_BLOCK = 5_000
@@ -47,39 +48,55 @@ def _unit(vectors: pd.Series) -> np.ndarray:
     return np.where(size[:, None] > 0, x / np.where(size == 0, 1, size)[:, None], np.nan)
 
 
-def _best(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, m: np.ndarray, k: int) -> pd.DataFrame:
-    """The k best of a block for each query; ids must ascend, as of equal scores (to twelve digits) the first ids stay."""
-    s = np.round(1 + q @ m.T, 12)
-    s = np.where(np.isnan(s), -1.0, s)
-    if s.shape[1] > k:
-        last = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k, None]
-        more, ties = s > last, s == last
-        kept = (more | (ties & (np.cumsum(ties, 1) <= k - more.sum(1, keepdims=True)))) & (s >= 0)
-    else:
-        kept = s >= 0
-    row, col = np.nonzero(kept)
-    return pd.DataFrame({"request_id": q_ids[row], "id": ids[col], "score": s[row, col]})
+def _first(s: np.ndarray, k: int) -> np.ndarray:
+    """The columns of the k best scores of each row, ascending; of equal scores the first ones."""
+    if s.shape[1] <= k:
+        return np.broadcast_to(np.arange(s.shape[1]), s.shape)
+    last = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k, None]
+    more, ties = s > last, s == last
+    kept = more | (ties & (np.cumsum(ties, 1) <= k - more.sum(1, keepdims=True)))
+    return np.nonzero(kept)[1].reshape(len(s), k)
 
 
-def _blocks(rows: DataFrame, most: int, name: str) -> DataFrame:
-    """(user_id, name): into how many blocks of about `most` rows each user's rows are dealt."""
-    return rows.groupBy("user_id").agg(F.ceil(F.count("*") / most).cast("int").alias(name))
+def _best(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, m: np.ndarray, k: int, rows: int | None = None) -> pd.DataFrame:
+    """The k best of a block for each query; ids must ascend, as of equal scores (to twelve digits) the first ids stay.
+
+    Chunks of `rows` of the block are met one after the other, and each leaves the k best so far.
+    """
+    scores, places = np.zeros((len(q), 0)), np.zeros((len(q), 0), np.int64)
+    rows = rows or max(1, len(m))
+    for low in range(0, len(m), rows):
+        s = np.round(1 + q @ m[low : low + rows].T, 12)
+        s = np.where(np.isnan(s), -1.0, s)
+        own = _first(s, k)
+        scores, places = np.concatenate([scores, np.take_along_axis(s, own, 1)], 1), np.concatenate([places, low + own], 1)
+        best = _first(scores, k)
+        scores, places = np.take_along_axis(scores, best, 1), np.take_along_axis(places, best, 1)
+    row, col = np.nonzero(scores >= 0)
+    return pd.DataFrame({"request_id": q_ids[row], "id": ids[places[row, col]], "score": scores[row, col]})
+
+
+def _blocks(rows: DataFrame, most: int, together: int, name: str) -> DataFrame:
+    """(user_id, name): to how many tasks each user's rows go, in pieces of about `most` rows, as many in a task as make up
+    `together` rows."""
+    return rows.groupBy("user_id").agg(F.ceil(F.count("*") / (most * max(1, together // most))).cast("int").alias(name))
 
 
 def knn_blocks(queries: DataFrame, memories: DataFrame, k: int = TOP_K, chunk_rows: int = CHUNK_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
     """L6 by matrix products: a user's memories are split into chunks of about chunk_rows and the user's queries into blocks
     of about query_rows; every block meets every chunk, keeps its k best, and a last top-k joins them. Only users who ask
-    take part, and only ids and vectors are shuffled."""
+    take part, and only ids and vectors are shuffled. Small chunks and blocks share tasks, so that what is shuffled follows
+    the rows of a task and not those of a chunk, and the blocks of a task meet its chunks one after the other."""
     hits = block_hits(queries, memories, k, chunk_rows, query_rows)
     return _top(hits, k).join(queries.select("request_id", "user_id"), "request_id").select("request_id", "user_id", "id", "score", "rank")
 
 
 def block_hits(queries: DataFrame, memories: DataFrame, k: int, chunk_rows: int = CHUNK_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
-    """(request_id, id, score): the k best of every chunk of memories for each query, of those with the query's user_id."""
-    users = _blocks(queries, query_rows, "blocks")
+    """(request_id, id, score): the k best of every task's chunks of memories for each query, of those with the query's user_id."""
+    users = _blocks(queries, query_rows, QUERY_ROWS, "blocks")
     mine = memories.select(*[F.col(c).alias(c) for c in ("user_id", "id", "vector")])  # columns of their own, should both come from one table
     mine = mine.join(users.select("user_id"), "user_id", "left_semi")
-    sizes = _blocks(mine, chunk_rows, "chunks").join(users, "user_id")
+    sizes = _blocks(mine, chunk_rows, CHUNK_ROWS, "chunks").join(users, "user_id")
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     of = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
     m = mine.join(sizes, "user_id").select("user_id", of("id", "chunks").alias("chunk"), every("blocks").alias("block"), "id", "vector")
@@ -91,7 +108,7 @@ def block_hits(queries: DataFrame, memories: DataFrame, k: int, chunk_rows: int
             return pd.DataFrame({"request_id": left["request_id"].iloc[:0], "id": right["id"].iloc[:0], "score": np.zeros(0)})
         right = right.sort_values("id")
         ids, unit = right["id"].to_numpy(), _unit(right["vector"])
-        return pd.concat([_best(left["request_id"].to_numpy()[i : i + 256], _unit(left["vector"][i : i + 256]), ids, unit, k) for i in range(0, len(left), 256)])
+        return pd.concat([_best(left["request_id"].to_numpy()[i : i + 256], _unit(left["vector"][i : i + 256]), ids, unit, k, chunk_rows) for i in range(0, len(left), 256)])
 
     keys = ("user_id", "chunk", "block")
     return q.groupBy(*keys).cogroup(m.groupBy(*keys)).applyInPandas(block, HITS)

@@ -112,6 +112,25 @@ def test_searches_agree(spark, chunk):
     assert sorted((r["request_id"], r["rank"], r["id"]) for r in whole.collect()) == sorted((r["request_id"], r["rank"], r["id"]) for r in cross.collect())
 
 
+@pytest.mark.parametrize("together", [None, (40, 6)])
+def test_small_blocks_share_tasks(spark, monkeypatch, together):
+    """What leaves the tasks, and so what is shuffled, follows the rows of a task, not those of a chunk."""
+    if together:
+        monkeypatch.setattr(N, "CHUNK_ROWS", together[0])
+        monkeypatch.setattr(N, "QUERY_ROWS", together[1])
+    rnd = np.random.default_rng(4)
+    table = spark.createDataFrame([(f"m{k:03}", "u", rnd.integers(-2, 3, 4).astype(float).tolist()) for k in range(200)], "id string, user_id string, vector array<float>")
+    queries = spark.createDataFrame([(f"q{k:02}", "u", rnd.integers(-2, 3, 4).astype(float).tolist()) for k in range(24)] + [("zero", "u", [0.0] * 4)], "request_id string, user_id string, vector array<float>")
+    hits = N.block_hits(queries, table, 5, 20, 3).groupBy("request_id").count().collect()
+    assert max(r["count"] for r in hits) <= 5 * (200 // together[0] if together else 1)
+
+    def own(df):
+        return sorted((r["request_id"], r["rank"], r["id"], round(r["score"], 6)) for r in df.collect())
+
+    rounded = N.knn(queries, table, 200).withColumn("score", F.round("score", 12))
+    assert own(N.knn_blocks(queries, table, 5, 20, 3)) == own(N._top(rounded.drop("rank"), 5))
+
+
 def test_equal_vectors_stay_few(spark):
     """Of many memories of one score the first ids stay, in every block."""
     table = memories(spark, [(f"m{k:03d}", "u", "t", [1.0, 2.0]) for k in range(200)])
