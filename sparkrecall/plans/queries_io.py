@@ -3,9 +3,13 @@ the shared folder and comes back, or runs a stream over all there is, and return
 
 from __future__ import annotations
 
+import hashlib
 import json
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.fs  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -69,14 +73,31 @@ def s5_journal_files(spark, d):
     return _entry_columns(X.read_journal(spark, path))
 
 
+def _page_files(pages: DataFrame, path: str) -> DataFrame:
+    """page_id and file_url of pages (page_id, html) that tasks store as files, a zero byte behind each; one page, one name."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = pa.fs.FileSystem.from_uri(path)
+        for batch in batches:
+            urls = []
+            for page, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                data = html + b"\0"
+                folder, name = f"{(page or 0) % 1000:03}", f"{page}-{hashlib.md5(data).hexdigest()}.html"
+                store.create_dir(f"{base}/{folder}")
+                with store.open_output_stream(f"{base}/{folder}/{name}") as out:
+                    out.write(data)
+                urls.append(f"{path}/{folder}/{name}")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(urls, pa.string())], names=["page_id", "file_url"])
+
+    return pages.select("page_id", F.coalesce("html", F.lit("")).cast("binary").alias("html")).mapInArrow(run, "page_id long, file_url string")
+
+
 @query
 def s6_ingest_attachments(spark, d):
     """Pages stored as files, then taken in by a manifest of which one url in three leads nowhere."""
     path = X.scratch(spark, "pages")
-    p = W.table(spark, d, "pages").select("page_id", F.coalesce("html", F.lit("")).alias("html"))
-    p.repartition(8, "page_id").write.partitionBy("page_id").option("lineSep", "\u0000").text(path)
-    stored = spark.read.format("binaryFile").load(path).select(F.col("page_id").cast("long").alias("page_id"), F.col("path").alias("file_url"))
-    url = F.when(F.col("page_id") % 3 == 0, F.concat("file_url", F.lit(".lost"))).otherwise(F.col("file_url"))
+    stored = X.written(_page_files(W.table(spark, d, "pages"), path), "stored-pages")
+    url = F.when(F.coalesce(F.col("page_id") % 3, F.lit(0)) == 0, F.concat("file_url", F.lit(".lost"))).otherwise(F.col("file_url"))
     manifest = stored.select("page_id", url.alias("file_url"), F.concat(F.lit("raw/"), F.col("page_id").cast("string")).alias("dest"))
     return X.ingest_attachments(manifest, [path]).select("page_id", "local_path", F.coalesce("length", F.lit(-1)).alias("length"), F.md5("content").alias("digest"))
 

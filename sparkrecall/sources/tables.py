@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import errno
+import os
+import re
+import stat
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from sparkrecall import schemas
 from sparkrecall.operators.journal import attachment_manifest, extract_files, journal_entries
@@ -124,23 +131,71 @@ def read_journal(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("user_id string, date date, request_id string, pos int, type string, role string, content string, original_url string, local_path string, timestamp timestamp").json(path)
 
 
+#: Bytes of files that a task hands on at once; a larger file alone.
+FILE_BYTES = 8_000_000
+
+
+def _file_bytes(path: str | None, roots: tuple[str, ...]) -> bytes | None:
+    """A file below one of the folders, or one of them itself; none if there is no such file."""
+    if path is None or path.startswith("//") or os.path.normpath(path) != path or not any(path == r or path.startswith(r.rstrip("/") + "/") for r in roots):
+        return None
+    try:
+        if not stat.S_ISREG(os.stat(path).st_mode):
+            return None
+        with open(path, "rb") as f:
+            return f.read()
+    except (FileNotFoundError, NotADirectoryError, ValueError):
+        return None
+    except OSError as e:
+        if e.errno not in (errno.ENAMETOOLONG, errno.ELOOP):
+            raise
+        return None
+
+
 def ingest_attachments(manifest: DataFrame, paths: list[str]) -> DataFrame:
     """The manifest with each local file's bytes; local_path is its place in the store, null for a missing file.
 
-    Local urls are paths, with or without file://. Files are listed and narrowed to the manifest's paths before a byte of
-    them is read.
+    Local urls are paths, with or without file://; only files at or below the given paths count. The manifest is dealt to tasks, each
+    of which opens the files that its rows name: no list of files goes through the driver, and no contents are moved. Paths of another file
+    system, and patterns, go through Spark's own reader, which lists their files on the driver.
     """
     plain = lambda c: F.regexp_replace(c, "^file:/+", "/")
-    own = manifest.withColumn("_path", plain("file_url"))
-    read = manifest.sparkSession.read.format("binaryFile").option("recursiveFileLookup", "true")
-    listed = read.load(paths).select("path").join(own.select("_path").distinct(), plain("path") == F.col("_path"), "left_semi")
+    near = [p for p in paths if (p.startswith("file:") or not re.match(r"[\w.+-]+:", p)) and not re.search(r"[*?\[{]", p)]
+    roots = tuple(os.path.abspath(re.sub("^file:/+", "/", p)) for p in near)
+    far = [p for p in paths if p not in near]
+    kinds = StructType(manifest.schema.fields + StructType().add("content", "binary").add("length", "long").fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            urls, contents, size, start = batch.column("_path").to_pylist(), [], 0, 0
+            for k, path in enumerate(urls):
+                contents.append(_file_bytes(path, roots))
+                size += len(contents[-1] or b"")
+                if size >= FILE_BYTES or k + 1 == len(urls):
+                    own = batch.slice(start, k + 1 - start).drop_columns(["_path"])
+                    lengths = pa.array([None if c is None else len(c) for c in contents], pa.int64())
+                    yield pa.RecordBatch.from_arrays([*own.columns, pa.array(contents, pa.binary()), lengths], names=[*own.schema.names, "content", "length"])
+                    contents, size, start = [], 0, k + 1
+
+    # a count of its own, as otherwise the few bytes of a manifest would be one task's
+    tasks = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = manifest.withColumn("_path", plain("file_url")).repartition(tasks).mapInArrow(run, kinds)
+    if far:
+        found = _listed_files(found, far, plain)
+    return found.withColumn("local_path", F.when(F.col("length").isNotNull(), F.col("dest")))
+
+
+def _listed_files(found: DataFrame, paths: list[str], plain: Callable) -> DataFrame:
+    """What tasks did not find, by Spark's reader. Files are listed and narrowed to the urls before a byte of them is read."""
+    own, had = found.withColumn("_path", plain("file_url")), F.col("length").isNotNull()
+    read = found.sparkSession.read.format("binaryFile").option("recursiveFileLookup", "true")
+    listed = read.load(paths).select("path").join(own.filter(~had).select("_path").distinct(), plain("path") == F.col("_path"), "left_semi")
     asked = [r["path"] for r in listed.toLocalIterator()]
     if not asked:
-        none = {"content": F.lit(None).cast("binary"), "length": F.lit(None).cast("long"), "local_path": F.lit(None).cast("string")}
-        return manifest.withColumns(none)
-    files = read.load(asked).select(plain("path").alias("_path"), "content", "length")
-    found = own.join(files, "_path", "left").drop("_path")
-    return found.withColumn("local_path", F.when(F.col("length").isNotNull(), F.col("dest")))
+        return found
+    files = read.load(asked).select(plain("path").alias("_path"), F.col("content").alias("_content"), F.col("length").alias("_length"))
+    both = own.join(files, "_path", "left")
+    return both.withColumns({"content": F.coalesce("content", "_content"), "length": F.coalesce("length", "_length")}).select(found.columns)
 
 
 def journal(requests: DataFrame, saved: DataFrame, path: str) -> DataFrame:

@@ -81,6 +81,41 @@ def test_attachments(spark, tmp_path):
     assert got[urls[0]][0] == "raw/0" and bytes(got[urls[1]][1]) == b"png" and got[urls[2]] == (None, None)
 
 
+def test_attachments_are_read_where_their_rows_are(spark, tmp_path, monkeypatch):
+    """No list of local files goes through the driver; what lies outside of the folders, or is no file, is missing."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    def listed(*_):
+        raise AssertionError("a list on the driver")
+
+    monkeypatch.setattr(DataFrame, "toLocalIterator", listed)
+    monkeypatch.setattr(tables, "FILE_BYTES", 10)
+    inside, outside = tmp_path / "in", tmp_path / "in-not"
+    for folder in (inside, outside, inside / "_sub"):
+        folder.mkdir()
+        (folder / "a.bin").write_bytes(b"bytes of " + folder.name.encode())
+    (inside / "empty").write_bytes(b"")
+    urls = [f"{inside}/a.bin", f"file:{inside}/a.bin", f"{inside}/_sub/a.bin", f"{inside}/empty"]
+    lost = [f"{outside}/a.bin", f"{inside}/../in-not/a.bin", f"{inside}", f"{inside}/a.bin/b", f"{inside}/{'x' * 300}", "http://h/a.bin", "", None]
+    manifest = spark.createDataFrame([(u, f"raw/{k}") for k, u in enumerate(urls * 2 + lost)], "file_url string, dest string")
+    rows = tables.ingest_attachments(manifest, [f"file://{inside}/", f"{tmp_path}/none"]).collect()
+    got = {r["dest"]: (r["local_path"], r["content"] and bytes(r["content"]), r["length"]) for r in rows}
+    want = [b"bytes of in", b"bytes of in", b"bytes of _sub", b""] * 2
+    assert len(rows) == len(got) == len(want) + len(lost)
+    assert [got[f"raw/{k}"] for k in range(len(want))] == [(f"raw/{k}", w, len(w)) for k, w in enumerate(want)]
+    assert all(got[f"raw/{k}"] == (None, None, None) for k in range(len(want), len(got)))
+
+
+def test_attachments_by_pattern(spark, tmp_path):
+    """Patterns go through Spark's reader."""
+    for k in (1, 2):
+        (tmp_path / f"p{k}").mkdir()
+        (tmp_path / f"p{k}" / "a").write_bytes(b"a%d" % k)
+    manifest = spark.createDataFrame([(f"{tmp_path}/p1/a", "1"), (f"{tmp_path}/p2/a", "2"), (f"{tmp_path}/p3/a", "3")], "file_url string, dest string")
+    got = {r["dest"]: (r["local_path"], r["content"] and bytes(r["content"])) for r in tables.ingest_attachments(manifest, [f"{tmp_path}/p[12]"]).collect()}
+    assert got == {"1": ("1", b"a1"), "2": ("2", b"a2"), "3": (None, None)}
+
+
 def test_no_shared_folder_on_a_cluster():
     """Only a local session may fall back to a folder of its own."""
 
