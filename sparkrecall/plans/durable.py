@@ -137,8 +137,10 @@ def stream_journal_table(entries: DataFrame, table: BucketTable, checkpoint: str
 
 # Exact stores
 
-#: Store calls of a user that go through in one round, and stored hits that a fact brings along beyond the k it may need.
+#: Store calls of a user that go through in the first round, and stored hits that a fact brings along beyond the k it may need.
 CALLS, SPARE = 500, 40
+#: A user whose calls all went through has twice as many in the next round, up to so many times the first.
+GROWN = 4
 #: (id, score, text) of a fact's hits, best first.
 Hits = list[tuple[str, float, str]]
 #: A call's decisions: user, facts and each one's hits in; (event, id, text, old text) in order out.
@@ -175,6 +177,7 @@ class Live:
     def __init__(self, dims: int):
         self.place: dict[str, int] = {}
         self.gone: set[str] = set()
+        self.unseen: set[int] = set()
         self.ids: list[str] = []
         self.texts: list[str] = []
         self.vectors = np.zeros((16, dims))
@@ -192,13 +195,23 @@ class Live:
                 self.vectors = np.concatenate([self.vectors, np.zeros_like(self.vectors)])
         self.gone.discard(id_)
         self.texts[at], self.vectors[at] = text, vector
+        (self.unseen.add if np.isnan(vector).any() else self.unseen.discard)(at)
 
     def drop(self, id_: str) -> None:
         self.gone.add(id_)
+        if id_ in self.place:
+            self.unseen.add(self.place[id_])
 
-    def hits(self, query: np.ndarray) -> Hits:
-        scores = np.round(1 + self.vectors[: len(self.ids)] @ query, 12)
-        return [(i, float(s), t) for i, s, t in zip(self.ids, scores, self.texts) if i not in self.gone and s == s]
+    def hits(self, query: np.ndarray, k: int) -> Hits:
+        """The k best, by score and then by id."""
+        raw = self.vectors[: len(self.ids)] @ query
+        if self.unseen:
+            raw[list(self.unseen)] = -np.inf
+        # what is equal to twelve digits may differ in the next
+        least = np.partition(raw, len(raw) - k)[len(raw) - k] - 1e-11 if len(raw) > k else -np.inf
+        near = np.flatnonzero((raw >= least) & (raw > -np.inf)).tolist()
+        scores = np.round(1 + raw[near], 12).tolist()
+        return sorted([(self.ids[at], s, self.texts[at]) for at, s in zip(near, scores)], key=lambda h: (-h[1], h[0]))[:k]
 
 
 def unit(vector) -> np.ndarray:
@@ -220,25 +233,33 @@ def _act(k: int, most: int, decide: CallDecider, embed: Callable[[pd.Series], pd
     def run(calls: pd.DataFrame, hits: pd.DataFrame) -> pd.DataFrame:
         if calls.empty:
             return pd.DataFrame(columns=[c.split()[0] for c in ACTED.split(", ")])
-        user, stored = calls["user_id"].iloc[0], {}
-        for h in hits.sort_values("rank").itertuples():
-            stored.setdefault((h.request_id, h.fact_pos), []).append((h.id, h.score, h.text))
-        live, out = Live(len(calls["vector"].iloc[0])), []
-        for (_, request), own in calls.sort_values(["call_no", "fact_pos"]).groupby(["call_no", "request_id"], sort=True):
-            facts, vectors, found, open_ = own["fact"].tolist(), own["vector"].tolist(), [], False
-            for pos, vector in zip(own["fact_pos"], vectors):
-                every = stored.get((request, pos), [])
-                left = [h for h in every if not live.changed(h[0])]
-                open_ |= len(every) == most and len(left) < k
-                found.append(sorted(left + live.hits(unit(vector)), key=lambda h: (-h[1], h[0]))[:k])
+        user, hits = calls["user_id"].iloc[0], hits.sort_values(["request_id", "fact_pos", "rank"])
+        starts = np.flatnonzero(~hits[["request_id", "fact_pos"]].duplicated().to_numpy())
+        asked = hits[["request_id", "fact_pos"]].iloc[starts]
+        stored = dict(zip(zip(asked["request_id"], asked["fact_pos"]), zip(starts.tolist(), [*starts[1:].tolist(), len(hits)])))
+        hit_ids, hit_scores, hit_texts = hits["id"].to_numpy(), hits["score"].to_numpy(), hits["text"].to_numpy()
+        calls = calls.sort_values(["call_no", "request_id", "fact_pos"])
+        live, out, made = Live(len(calls["vector"].iloc[0])), [], {}
+        requests, all_facts, all_vectors, places, times = (calls[c].tolist() for c in ("request_id", "fact", "vector", "fact_pos", "ts"))
+        firsts = np.flatnonzero(~calls[["call_no", "request_id"]].duplicated().to_numpy()).tolist()
+        for first, end in zip(firsts, [*firsts[1:], len(calls)]):
+            request, facts, vectors, found, open_ = requests[first], all_facts[first:end], all_vectors[first:end], [], False
+            for pos, vector in zip(places[first:end], vectors):
+                low, high = stored.get((request, pos), (0, 0))
+                left = [(i, s, t) for i, s, t in zip(hit_ids[low:high], hit_scores[low:high].tolist(), hit_texts[low:high]) if not live.changed(i)]
+                open_ |= high - low == most and len(left) < k
+                found.append(sorted(left + live.hits(unit(vector), k), key=lambda h: (-h[1], h[0]))[:k])
             if open_:
                 break
             acts = decide(user, facts, found) if any(found) else [("ADD", None, f, None) for f in facts]
             known = dict(zip(facts, vectors))
+            made.update(known)
             for pos, (event, id_, text, old) in enumerate(acts):
                 name, vector = (event or "NONE").upper(), None
                 if name in ("ADD", "UPDATE") and text is not None:
-                    vector = known[text] if text in known else embed(pd.Series([text])).iloc[0]
+                    if text not in known and text not in made:
+                        made[text] = embed(pd.Series([text])).iloc[0]
+                    vector = known[text] if text in known else made[text]
                 if name == "ADD" and vector is not None:
                     id_ = doc_id(user, text)
                     live.put(id_, text, unit(vector))
@@ -246,9 +267,9 @@ def _act(k: int, most: int, decide: CallDecider, embed: Callable[[pd.Series], pd
                     live.put(id_, text, unit(vector))
                 elif name == "DELETE" and id_:
                     live.drop(id_)
-                out.append((request, pos, user, id_, text, event, old, vector, own["ts"].iloc[0]))
+                out.append((request, pos, user, id_, text, event, old, vector, times[first]))
             if not acts:
-                out.append((request, 0, user, None, None, "NONE", None, None, own["ts"].iloc[0]))
+                out.append((request, 0, user, None, None, "NONE", None, None, times[first]))
         return pd.DataFrame(out, columns=[c.split()[0] for c in ACTED.split(", ")])
 
     return run
@@ -257,10 +278,11 @@ def _act(k: int, most: int, decide: CallDecider, embed: Callable[[pd.Series], pd
 def remember_exact(requests: DataFrame, memories: DataFrame, embedder=None, extractor=M.line_facts, decider: CallDecider | None = None, k: int = schemas.TOP_K, calls: int = CALLS, spare: int = SPARE) -> Remembered:
     """L19's long-term side with every call seeing what the user's earlier calls stored; of the shape of `jobs.remember`.
 
-    In a round, the next `calls` calls of every user meet the stored memories by `knn_blocks`, which splits large users, and then
-    run one after the other in a task that holds no more than these calls, their facts and k + spare hits for each. What they did is
-    applied, and the rest goes into the next round: a user with n calls takes about n / calls rounds, all users at once.
-    Calls are in the order of their times, then of their ids.
+    In a round, the next calls of every user, `calls` of them in the first, meet the stored memories by `knn_blocks`, which splits large
+    users, and then run one after the other in a task that holds no more than these calls, their facts and k + spare hits for each. What
+    they did is applied, and the rest goes into the next round. A user whose calls all went through has twice as many in the next round, up
+    to GROWN * calls, and one whose round ended early as many as went through, or `calls`; so a user with n calls takes about n / (GROWN * calls)
+    rounds, all users at once. Calls are in the order of their times, then of their ids.
     """
     embed, decide = embedder or hashed_bigrams(), decider or rule_call()
     found, used = M.staged(extractor(requests))
@@ -271,9 +293,10 @@ def remember_exact(requests: DataFrame, memories: DataFrame, embedder=None, extr
     order = Window.partitionBy("user_id").orderBy("ts", "request_id")
     pending = written(facts.select("request_id", "user_id", "ts").distinct().withColumn("call_no", F.row_number().over(order)), "pending")
     actions = None
+    pending = pending.withColumn("take", F.lit(calls))
     while not pending.isEmpty():
         nearest = Window.partitionBy("user_id").orderBy("call_no")
-        now = pending.withColumn("_k", F.row_number().over(nearest)).filter(F.col("_k") <= calls).select("request_id", "call_no")
+        now = pending.withColumn("_k", F.row_number().over(nearest)).filter(F.col("_k") <= F.col("take")).select("request_id", "call_no")
         own = written(facts.join(now, "request_id"), "round-facts")
         hits = M.fact_hits(own.select("request_id", "user_id", "fact_pos", "vector"), mine, k + spare)
         hits = written(hits.join(mine.select("user_id", "id", F.col("data").alias("text")), ["user_id", "id"]), "round-hits")
@@ -281,7 +304,10 @@ def remember_exact(requests: DataFrame, memories: DataFrame, embedder=None, extr
         acted = written(acted, "acted")
         mine = written(M.apply_actions(mine, acted.filter("event <> 'NONE' or id is not null")), "memories")
         actions = acted if actions is None else actions.union(acted)
-        pending = written(pending.join(acted.select("request_id").distinct(), "request_id", "left_anti"), "pending")
+        went = acted.groupBy("user_id").agg(F.count_distinct("request_id").cast("int").alias("went"))
+        more = F.when(F.col("went") < F.col("take"), F.greatest("went", F.lit(calls))).otherwise(F.least(2 * F.col("take"), F.lit(GROWN * calls)))
+        rest = pending.join(acted.select("request_id").distinct(), "request_id", "left_anti").join(went, "user_id")
+        pending = written(rest.select("request_id", "user_id", "ts", "call_no", more.alias("take")), "pending")
     actions = actions if actions is not None else requests.sparkSession.createDataFrame([], ACTED)
     counters = requests.select("request_id", *[F.lit(0).cast("long").alias(c) for c in ("input_tokens", "output_tokens", "total_tokens")])
     usage = M.sum_usage(counters if used is None else counters.unionByName(used.select(counters.columns)), "request_id")

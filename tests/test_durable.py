@@ -4,6 +4,7 @@ import datetime as dt
 import os
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -170,6 +171,37 @@ def test_exact_store_is_that_in_waves(spark, tmp_path, calls, spare):
     assert got.usage.count() == len(rows)
 
 
+def test_exact_store_takes_few_rounds(spark, monkeypatch):
+    """A user whose calls all go through has more of them in the next round; the others go on as far as they get."""
+    rounds, was = [], D.written
+
+    def written(df, name):
+        rounds.append(name)
+        return was(df, name)
+
+    monkeypatch.setattr(D, "written", written)
+    rows = request(spark, [(f"r{k:02}", "u" if k < 14 else "v", f"number {k} {'x' * k}\nanother {k * k} of {k}") for k in range(17)])
+    got = D.remember_exact(rows, spark.createDataFrame([], schemas.MEMORIES), N.hashed_bigrams(32), calls=2, k=3)
+    assert rounds.count("round-facts") == 3  # 2, 4 and 8 calls
+    again = D.remember_exact(rows, spark.createDataFrame([], schemas.MEMORIES), N.hashed_bigrams(32), calls=100, k=3)
+    assert plain(got.memories) == plain(again.memories) and got.memories.count() > 0
+
+
+def test_live_memories():
+    """The k best by score to twelve digits, then by id; what is gone or has no length is none of them."""
+    live, rnd = D.Live(2), np.random.default_rng(1)
+    vectors = {f"m{k:03}": D.unit(rnd.integers(-2, 3, 2)) for k in range(120)}
+    for id_, v in vectors.items():
+        live.put(id_, id_, v)
+    for id_ in ("m001", "m050", "stored"):
+        live.drop(id_)
+    live.put("m050", "back", vectors["m050"])
+    for query in ([1, 0], [1, 1], [0, 0]):
+        scores = {i: round(float(1 + v @ D.unit(query)), 12) for i, v in vectors.items() if i != "m001"}
+        want = sorted(((i, s) for i, s in scores.items() if s == s), key=lambda h: (-h[1], h[0]))[:10]
+        assert [(i, round(s, 12)) for i, s, _ in live.hits(D.unit(query), 10)] == want
+
+
 def test_exact_store_of_nothing(spark):
     none = spark.createDataFrame([], schemas.MEMORIES)
     got = D.remember_exact(request(spark, [("r1", "u", "  ")]), none, N.hashed_bigrams(16))
